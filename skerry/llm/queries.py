@@ -11,6 +11,7 @@ from .chat_format import format_conversations, read_back
 from .common import table
 from .decontaminate import find_contamination
 from .packing import pack
+from .substring_dedup import dedup_substrings
 from .url_filter import Rule, judge_urls
 
 #: The rules that query op10 judges by.
@@ -42,6 +43,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -67,7 +73,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op9_chat_formatting, op10_url_filters)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op6_substring_dedup, op9_chat_formatting, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -162,18 +162,18 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", default
     fits = []
     for verdict in sorted({r.verdict for r in rules}):
         own = sorted({r.key for r in rules if r.verdict == verdict})
-        levels = build_cascade(universe, spark.createDataFrame([(k,) for k in own], "key string"), n_universe=n_universe)
+        levels = build_cascade(universe, spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in own])).alias("key")), n_universe=n_universe)
         fits.append((verdict, levels))
 
     def fitting(levels: list[Level], verdict: str) -> Column:
         return F.transform(
-            F.filter("keys", lambda k: is_listed(k["key"], levels)),
+            F.filter("__keys", lambda k: is_listed(k["key"], levels)),
             lambda k: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), F.lit(verdict).alias("verdict")),
         )
 
     best = F.array_max(F.concat(*[fitting(levels, verdict) for verdict, levels in fits]))
     return (
-        base.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-        .withColumn("best", best)
-        .select(*keep, "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+        base.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths))
+        .withColumn("__best", best)
+        .select(*keep, "host", "path", F.col("__best.key").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
     )
