@@ -11,7 +11,9 @@ from .chat_format import format_conversations, read_back
 from .common import table
 from .decontaminate import find_contamination
 from .packing import pack
+from .quality import score_quality, train_quality
 from .substring_dedup import dedup_substrings
+from .toxicity import score_toxicity, train_toxicity
 from .url_filter import Rule, judge_urls
 
 #: The rules that query op10 judges by.
@@ -43,11 +45,21 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -72,8 +84,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+QUERIES = (
+    op2_best_fit_packing,
+    op3_benchmark_decontamination,
+    op4_quality_classifier,
+    op6_substring_dedup,
+    op7_toxicity,
+    op9_chat_formatting,
+    op10_url_filters,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op6_substring_dedup, op9_chat_formatting, op10_url_filters)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
