@@ -43,36 +43,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import plain_text, written
+from .common import byte_slices, plain_text, written
+from .textvec import LOWER, hash_spans, words_of
 
-CACHE_WORDS = 300_000
+#: Entries of each of the two generations of the cache; a worker's cache stays under about 200 MB.
+CACHE_WORDS = 500_000
+_U = np.uint64
+#: Bytes of a-z and of the Latin-1 letters in UTF-8, whose lead byte is C3; C3 97 and C3 B7 are no letters.
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:192] = _LETTER[0xC3] = True
+_MARKS = np.zeros(256, np.uint64)
+_MARKS[ord(".")], _MARKS[ord(",")] = 1, 2
 
 
 class WordCachedTokenizer:
-    """Ids of whole texts, as the tokenizer would give them, from a bounded cache per white-space-separated string.
-
-    This is exact for tokenizers that drop white space and never join across
-    it, which :meth:`check` asks of the file.
+    """Ids of whole texts, as the tokenizer gives them, from a bounded cache per string between white space.
+
+    Exact for tokenizers that lower-case, whose pre-tokens never reach across
+    white space, which they drop, and whose words end in an id marked
+    ``</w>``.  A string of plain letters before one ``.`` or ``,`` is looked
+    up by its letters.  Strings are told apart by 62-bit hashes, found for a
+    run of texts at once; letters not seen before are encoded many at a time
+    and told apart by the marked ids, other strings one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._own = Tokenizer.from_file(path)
-        self._own.encode_special_tokens = True
         self._own.no_truncation()
-        self._known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known = self._known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        words = [t.split() for t in texts]
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, self._own.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        vocabulary = self._own.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._young: dict[int, bytes] = {}
+        self._old: dict[int, bytes] = {}
+        self._marks = [b"", *self._encode([".", ","])]
+
+    def _encode(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._own.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + 500] for i in range(0, len(words), 500)]
+        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups])):
+            cuts = (np.flatnonzero(self._ends[np.frombuffer(ids, "<u4")]) + 1).tolist()
+            if len(cuts) == len(group):
+                out += [ids[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
+            else:
+                out += self._encode(group)
+        return out
+
+    def _learn(self, keys: list[int], missing: list[int], string, plain: list[bool]) -> dict[int, bytes]:
+        """Values of the keys at ``missing``; ``string(i)`` is the text of the i-th key."""
+        found: dict[int, bytes] = {}
+        letters: dict[int, str] = {}
+        other: dict[int, str] = {}
+        for i in missing:
+            key = keys[i]
+            bare = key & ~3
+            ids = self._old.get(key)
+            if ids is not None:
+                found[key] = ids
+            elif not plain[i]:
+                other[key] = string(i)
+            elif (ids := self._young.get(bare) or self._old.get(bare)) is not None:
+                found[bare] = ids
+            else:
+                letters[bare] = string(i)
+        found |= zip(letters, self._encode_letters(list(letters.values())))
+        found |= zip(other, self._encode(list(other.values())))
+        for i in missing:
+            key = keys[i]
+            if key not in found:
+                found[key] = found[key & ~3] + self._marks[key & 3]
+        return found
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of the run ``raw[offsets[i]:offsets[i + 1]]``."""
+        low = LOWER[raw]
+        words = words_of(low, offsets)
+        start, end = words.start, words.end
+        if not len(start):
+            return [np.zeros(0, "<u4")] * (len(offsets) - 1)
+        odd = ~_LETTER[low]
+        lead = np.flatnonzero(low == 0xC3)
+        odd[lead[np.isin(low[np.minimum(lead + 1, len(low) - 1)], (0x97, 0xB7))]] = True
+        odds = np.concatenate([[0], np.cumsum(odd)])
+        mark = _MARKS[low[end - 1]] * (end - start > 1)
+        bare = end - (mark > 0)
+        plain = odds[bare] == odds[start]
+        bare, mark = np.where(plain, bare, end), np.where(plain, mark, _U(0))
+        key, at, inverse = np.unique(hash_spans(low, start, bare) & ~_U(3) | mark | _U(3) * ~plain, return_index=True, return_inverse=True)
+        keys = key.tolist()
+        if len(self._young) > CACHE_WORDS:
+            self._young, self._old = {}, self._young
+        known = self._young
+        values = [known.get(k) for k in keys]
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            data, begin, stop = low.tobytes(), start[at].tolist(), bare[at].tolist()
+            learnt = self._learn(keys, missing, lambda i: data[begin[i] : stop[i]].decode("utf-8", "replace"), plain[at].tolist())
+            known |= learnt
+            for i in missing:
+                values[i] = learnt[keys[i]]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        flat = np.frombuffer(b"".join(values), "<u4")
+        place = np.cumsum(sizes) - sizes
+        n = sizes[inverse]
+        ends = np.cumsum(n)
+        out = flat[np.arange(ends[-1]) + np.repeat(place[inverse] - (ends - n), n)]
+        bounds = np.concatenate([[0], ends])[words.first]
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -89,28 +170,26 @@ def _pieces(path: str, capacity: int, end_id: int, with_tokens: bool):
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end, encoder = np.array([end_id], "<u4").tobytes(), tokenizer(path)
+        end, encoder = np.array([end_id], "<u4"), tokenizer(path)
         for batch in batches:
-            step = 256
-            for lo in range(0, batch.num_rows, step):
-                part = batch.slice(lo, step)
+            docs = batch.column(0).to_pylist()
+            for lo, hi, raw, offsets in byte_slices(batch.column(1)):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "rank")}
                 tokens = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.ids([t.as_py().encode() for t in part.column(1)])):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, at in enumerate(range(0, n, capacity)):
-                        own = ids[4 * at : 4 * (at + capacity)]
-                        size = len(own) // 4
+                for doc, ids in zip(docs[lo:hi], encoder.ids(raw, offsets)):
+                    ids = np.concatenate([ids, end])
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        own = ids[at : at + capacity]
+                        size = len(own)
                         out["doc_id"].append(doc)
                         out["piece"].append(k)
                         out["start"].append(at)
                         out["length"].append(size)
-                        out["ids_crc32"].append(zlib.crc32(own))
+                        out["ids_crc32"].append(zlib.crc32(own.tobytes()))
                         out["rank"].append(seen[size])
                         seen[size] += 1
                         if with_tokens:
-                            tokens.append(np.frombuffer(own, "<u4").astype(np.int32))
+                            tokens.append(own.astype(np.int32))
                 columns = {k: pa.array(v, pa.int32() if k == "piece" else pa.int64()) for k, v in out.items()}
                 columns["task"] = pa.array([task] * len(out["rank"]), pa.int32())
                 if with_tokens:

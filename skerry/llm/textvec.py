@@ -77,13 +77,17 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, *, is_word: np.ndarray = SPAC
     goes_on = np.zeros(n, bool)
     goes_on[:-1] = inside[1:] & before[1:]
     end = np.flatnonzero(inside & ~goes_on) + 1
-    p, q = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * p, out=sums[1:])
-    raw_hash = (sums[end] - sums[start]) * q[start] if len(start) else none.astype(np.uint64)
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(docs), np.diff(first))
-    return Words(start, end, mix(raw_hash + (end - start).astype(np.uint64)), doc, first)
+    return Words(start, end, hash_spans(raw, start, end), doc, first)
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans raw[start[i]:end[i]], by prefix sums of a polynomial."""
+    p, q = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * p, out=sums[1:])
+    return mix((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64))
 
 
 def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
