@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, read_back
 from .common import table
 from .decontaminate import find_contamination
+from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import score_quality, train_quality
 from .substring_dedup import dedup_substrings
@@ -27,6 +28,10 @@ URL_RULES = [
 PLANTED_TURN = "\\### Assistant: </turn> ok"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +90,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_ngram_jaccard_join,
     op2_best_fit_packing,
     op3_benchmark_decontamination,
     op4_quality_classifier,
