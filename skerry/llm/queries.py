@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_conversations, read_back
 from .common import table
 from .decontaminate import find_contamination
+from .embedding_dedup import near_duplicates
 from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import score_quality, train_quality
@@ -65,6 +66,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -96,6 +101,7 @@ QUERIES = (
     op4_quality_classifier,
     op6_substring_dedup,
     op7_toxicity,
+    op8_embedding_near_dedup,
     op9_chat_formatting,
     op10_url_filters,
 )
