@@ -13,6 +13,7 @@ from .decontaminate import find_contamination
 from .embedding_dedup import near_duplicates
 from .ngram_join import jaccard_components
 from .packing import pack
+from .pii import KINDS, find_personal_data
 from .quality import score_quality, train_quality
 from .substring_dedup import dedup_substrings
 from .toxicity import score_toxicity, train_toxicity
@@ -56,6 +57,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+
+    def listed(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["from"].cast("string"), s["to"].cast("string"))), ",")
+
+    def counted(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(counted, KINDS), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -99,6 +112,7 @@ QUERIES = (
     op2_best_fit_packing,
     op3_benchmark_decontamination,
     op4_quality_classifier,
+    op5_pii,
     op6_substring_dedup,
     op7_toxicity,
     op8_embedding_near_dedup,
