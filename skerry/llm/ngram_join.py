@@ -6,15 +6,16 @@ join is exact up to 57-bit shingle hashes.
 
 Steps, and what each moves:
 
-1. One pass counts shingles in a fixed-size sketch (2^20 counters) and gives
+1. One pass counts shingles in a fixed-size sketch (2^24 counters) and gives
    each text its set size and a 128-bit digest of its set.  Texts with equal
    sets are one class; from here on its least doc_id stands for it.
 2. All sets are put in one global order, rare shingles first by the sketch.
-   A link needs a common shingle among the first n - ceil(n * percent / 100) + 1
-   of each side.  Those prefixes meet by shingle; the least document of a
-   shingle is its *hub*, and a document belongs to the buckets of its hubs.
-   Texts that share no prefix shingle, nearly all, go no further.
-3. The sets of the others go to their buckets, in blocks of ``block`` members
+   Linked sets share c shingles among the first n - ceil(n * percent / 100) + c
+   of each side, for any c.  Prefixes for c = n / 20 meet by shingle, and a text
+   with fewer shared ones than that goes no further: nearly all.  Among the
+   others the prefixes for c = 1 meet again; the least document of a shingle
+   is its *hub*, and a document belongs to the buckets of its hubs.
+3. The texts of the others go to their buckets, in blocks of ``block`` members
    with the hub in each, so a bucket of any size is dealt to many tasks.
    Inside a block the ordered sets form a prefix tree.  A probe walks it,
    carries the overlap along shared prefixes, and leaves a subtree when
@@ -34,6 +35,7 @@ are none.  Only the named columns are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +48,7 @@ from .components import components
 from .textvec import LOWER, mix, ngrams, words_of
 
 _U = np.uint64
-SKETCH_BITS, SLOTS = 20, 64
+SKETCH_BITS, SLOTS = 24, 64
 #: Shingles to a tree node, so that bounds are looked at often.
 SEGMENT = 16
 
@@ -83,18 +85,19 @@ _SETS = "doc_id long, n long, d1 long, d2 long, slot int, sketch binary"
 
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters = np.zeros(1 << SKETCH_BITS, np.uint16)
         for b in batches:
             for lo, hi, raw, offsets in byte_slices(b.column(1)):
                 doc, grams = shingle_sets(raw, offsets, words)
                 n = np.bincount(doc, minlength=hi - lo)
                 d1, d2 = _sums(mix(grams), doc, hi - lo), _sums(mix(grams ^ _U(0x5851F42D4C957F2D)), doc, hi - lo)
-                counters += np.bincount((grams >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                at, own = np.unique(grams >> _U(64 - SKETCH_BITS), return_counts=True)
+                counters[at] = np.minimum(counters[at] + own, 255)
                 none = pa.nulls(hi - lo, pa.int32())
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": b.column(0).slice(lo, hi - lo), "n": pa.array(n, pa.int64()), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64)), "slot": none, "sketch": pa.nulls(hi - lo, pa.binary())}
                 )
-        own = [(i, c.astype("<u4").tobytes()) for i, c in enumerate(np.split(np.minimum(counters, 0xFFFFFFFF), SLOTS)) if c.any()]
+        own = [(i, zlib.compress(c.astype(np.uint8).tobytes(), 1)) for i, c in enumerate(np.split(counters, SLOTS)) if c.any()]
         null = pa.nulls(len(own), pa.int64())
         yield pa.RecordBatch.from_pydict({"doc_id": null, "n": null, "d1": null, "d2": null, "slot": pa.array([x[0] for x in own], pa.int32()), "sketch": pa.array([x[1] for x in own], pa.binary())})
 
@@ -102,21 +105,24 @@ def _describe(words: int):
 
 
 def _add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rarity classes, two to an octave, of the counters summed over all tasks; every row of a slot is in one partition."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for slot, part in zip(b.column(0).to_pylist(), b.column(1)):
-            counters = np.frombuffer(part.as_buffer(), "<u4").astype(np.int64)
-            sums[slot] = sums[slot] + counters if slot in sums else counters
-    yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "sketch": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
+            if slot not in sums:
+                sums[slot] = np.zeros((1 << SKETCH_BITS) // SLOTS, np.int64)
+            sums[slot] += np.frombuffer(zlib.decompress(part.as_py()), np.uint8)
+    levels = [np.minimum(63, 2 * np.log2(s + 1.0)).astype(np.uint8).tobytes() for s in sums.values()]
+    yield pa.RecordBatch.from_pydict({"slot": pa.array(list(sums), pa.int32()), "sketch": pa.array(levels, pa.binary())})
 
 
 def _levels(described: DataFrame) -> np.ndarray:
-    """Rarity class of each sketch counter, two to an octave; 2^20 bytes whatever the corpus."""
+    """Rarity class of each sketch counter; 2^SKETCH_BITS bytes whatever the corpus."""
     parts = described.where("slot is not null").select("slot", "sketch").repartition(SLOTS, "slot").mapInArrow(_add_sketches, "slot int, sketch binary").toArrow().to_pylist()
-    counters = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), np.int64)
+    levels = np.zeros((SLOTS, (1 << SKETCH_BITS) // SLOTS), np.uint8)
     for p in parts:
-        counters[p["slot"]] += np.frombuffer(p["sketch"], np.int64)
-    return np.minimum(63, 2 * np.log2(counters.reshape(-1) + 1.0)).astype(np.uint8)
+        levels[p["slot"]] = np.frombuffer(p["sketch"], np.uint8)
+    return levels.reshape(-1)
 
 
 def _ordered(raw: np.ndarray, offsets: np.ndarray, words: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +134,15 @@ def _ordered(raw: np.ndarray, offsets: np.ndarray, words: int, levels: np.ndarra
     return doc, token[order]
 
 
+#: A longer prefix by n / EXTRA shingles must share as many; more of it prunes more and moves more.
+EXTRA = 20
+
+
+def _common(n):
+    """Shingles that linked sets share in prefixes of n - ceil(n * percent / 100) + this many, for a set of n."""
+    return np.maximum(1, n // EXTRA)
+
+
 def _prefixes(words: int, percent: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,28 +150,11 @@ def _prefixes(words: int, percent: int, levels: np.ndarray):
                 doc, token = _ordered(raw, offsets, words, levels)
                 n = np.bincount(doc, minlength=hi - lo)
                 first = np.cumsum(n) - n
-                length = np.where(n > 0, n + (-percent * n // 100) + 1, 0)
+                length = np.where(n > 0, n + (-percent * n // 100) + _common(n), 0)
                 ends = np.cumsum(length)
                 at = np.arange(ends[-1]) + np.repeat(first - (ends - length), length)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(token[at]))
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "prefix": lists})
-
-    return run
-
-
-def _members(words: int, levels: np.ndarray):
-    """(doc_id, text, places) to one row a place with the ordered set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, places = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for lo, hi, raw, offsets in byte_slices(b.column(1)):
-                doc, token = _ordered(raw, offsets, words, levels)
-                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                out = [(p["hub"], p["block"], p["blocks"], ids[lo + i], token[cut[i] : cut[i + 1]].tobytes()) for i in range(hi - lo) for p in places[lo + i]]
-                columns = list(zip(*out)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(("hub", "block", "blocks", "doc_id", "tokens"), columns, kinds)})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(lo, hi - lo), "n": pa.array(n, pa.int64()), "prefix": lists})
 
     return run
 
@@ -254,8 +252,8 @@ def _spare(size: int, depth: int, percent: int) -> int:
     return y - -(-percent * (size + y) // (100 + percent))
 
 
-def _join_blocks(percent: int):
-    """Rows (hub, block, blocks, doc_id, tokens, probe) sorted by (hub, block) to edges and to members left over.
+def _join_blocks(words: int, percent: int, levels: np.ndarray):
+    """Rows (hub, block, blocks, doc_id, text, probe) sorted by (hub, block) to edges and to members left over.
 
     A row with ``probe`` meets the members only; members meet each other where
     no row of the block is a probe.
@@ -267,7 +265,10 @@ def _join_blocks(percent: int):
         hub = rows[0][0]
         ids = [r[3] for r in rows]
         forest, tree = Forest(ids), PrefixTree(percent)
-        sets = [tuple(np.frombuffer(r[4], np.int64).tolist()) for r in rows]
+        texts = [r[4].encode("utf-8", "surrogatepass") for r in rows]
+        doc, token = _ordered(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]), words, levels)
+        cut = np.searchsorted(doc, np.arange(len(rows) + 1))
+        sets = [tuple(token[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:])]
         probing = any(r[5] for r in rows)
         member_row: list[int] = []
 
@@ -319,10 +320,18 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, bl
     classes = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
 
-    prefixes = written(texts.mapInArrow(_prefixes(words, percent, levels), "doc_id long, prefix array<long>").join(reps, "doc_id", "left_semi"), "prefixes")
-    postings = prefixes.select("doc_id", F.explode("prefix").alias("token"))
-    shared = written(postings.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub < top").select("token", "hub"), "shared")
-    belongs = written(postings.join(shared, "token").select("hub", "doc_id").distinct(), "belongs")
+    prefixes = written(texts.mapInArrow(_prefixes(words, percent, levels), "doc_id long, n long, prefix array<long>").join(reps, "doc_id", "left_semi"), "prefixes")
+    postings = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("at", "token"))
+
+    def in_two(rows: DataFrame, name: str) -> DataFrame:
+        ends = rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"))
+        return written(rows.join(written(ends.where("hub < top").select("token", "hub"), "shared"), "token"), name)
+
+    shared = in_two(postings, "postings")
+    least = -F.floor(F.col("n") * -percent / 100)
+    live = shared.groupBy("doc_id", "n").count().where(F.col("count") >= F.greatest(F.lit(1), F.floor(least / EXTRA))).select("doc_id")
+    first = shared.where(F.col("at") <= F.col("n") - least).drop("hub").join(written(live, "live"), "doc_id", "left_semi")
+    belongs = written(in_two(first, "meetings").select("hub", "doc_id").distinct(), "belongs")
     sizes = written(belongs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "buckets")
     dealt = belongs.join(sizes, "hub")
     own = F.pmod(F.xxhash64("doc_id", "hub"), F.col("blocks")).cast("int")
@@ -331,12 +340,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, bl
         dealt.select("doc_id", F.transform(blocks, lambda k: F.struct(F.col("hub").alias("hub"), k.alias("block"), F.col("blocks").alias("blocks"))).alias("places")).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")),
         "places",
     )
-    placed = "hub long, block int, blocks int, doc_id long, tokens binary"
-    members = written(texts.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_members(words, levels), placed), "members").withColumn("probe", F.lit(False))
+    placed = texts.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("p"))
+    members = written(placed.select("p.hub", "p.block", "p.blocks", "doc_id", "text", F.lit(False).alias("probe")), "members")
     edge = "a long, b long, left boolean"
 
     def joined(rows: DataFrame) -> DataFrame:
-        return rows.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(_join_blocks(percent), edge)
+        return rows.repartition(parts, "hub", "block").sortWithinPartitions("hub", "block").mapInArrow(_join_blocks(words, percent, levels), edge)
 
     found = written(joined(members), "links")
     left = found.where(F.col("left")).select(F.col("b").alias("hub"), F.col("a").alias("doc_id"))
@@ -345,7 +354,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, bl
         wide = members.where("blocks > 1")
         again = wide.join(left.distinct(), ["hub", "doc_id"], "left_semi")
         others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != F.col("block"))
-        probes = again.select("hub", F.explode(others).alias("block"), "blocks", "doc_id", "tokens", F.lit(True).alias("probe"))
+        probes = again.select("hub", F.explode(others).alias("block"), "blocks", "doc_id", "text", F.lit(True).alias("probe"))
         targets = wide.join(left.select("hub").distinct(), "hub", "left_semi")
         edges = edges.unionByName(joined(targets.unionByName(probes)).where(~F.col("left")).select("a", "b"))
     labels = components(edges)
