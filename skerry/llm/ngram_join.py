@@ -25,6 +25,9 @@ Steps, and what each moves:
    the other blocks of the bucket, so no link between blocks is lost.
 5. Components of the forest, distributed; classes get their component back.
 
+The joins on texts, postings and classes are merge joins at every size, so the
+plan that runs on little data is the one that runs on much.
+
 Defined results.  A-Z is lower-cased.  Fewer words than ``words`` are one
 shingle.  Texts without words (null, empty) have an empty set, link with
 nothing and are their own component.  Rows are kept one to one and each is
@@ -320,12 +323,12 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, bl
     classes = written(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"))
 
-    prefixes = written(texts.mapInArrow(_prefixes(words, percent, levels), "doc_id long, n long, prefix array<long>").join(reps, "doc_id", "left_semi"), "prefixes")
+    prefixes = written(texts.mapInArrow(_prefixes(words, percent, levels), "doc_id long, n long, prefix array<long>").join(reps.hint("merge"), "doc_id", "left_semi"), "prefixes")
     postings = prefixes.select("doc_id", "n", F.posexplode("prefix").alias("at", "token"))
 
     def in_two(rows: DataFrame, name: str) -> DataFrame:
         ends = rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top"))
-        return written(rows.join(written(ends.where("hub < top").select("token", "hub"), "shared"), "token"), name)
+        return written(rows.join(written(ends.where("hub < top").select("token", "hub"), "shared").hint("merge"), "token"), name)
 
     shared = in_two(postings, "postings")
     least = -F.floor(F.col("n") * -percent / 100)
@@ -340,7 +343,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, bl
         dealt.select("doc_id", F.transform(blocks, lambda k: F.struct(F.col("hub").alias("hub"), k.alias("block"), F.col("blocks").alias("blocks"))).alias("places")).groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places")),
         "places",
     )
-    placed = texts.join(places, "doc_id").select("doc_id", "text", F.explode("places").alias("p"))
+    placed = texts.join(places.hint("merge"), "doc_id").select("doc_id", "text", F.explode("places").alias("p"))
     members = written(placed.select("p.hub", "p.block", "p.blocks", "doc_id", "text", F.lit(False).alias("probe")), "members")
     edge = "a long, b long, left boolean"
 
@@ -360,7 +363,7 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80, bl
     labels = components(edges)
     component = F.coalesce("component", "rep")
     settled = written(classes.join(labels, classes["rep"] == labels["node"], "left").select("d1", "d2", component.alias("component_id")), "settled")
-    out = rows.join(settled, ["d1", "d2"], "left")
+    out = rows.join(settled.hint("merge"), ["d1", "d2"], "left")
     alone = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
