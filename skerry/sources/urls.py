@@ -111,7 +111,7 @@ def load_urls(spark: SparkSession, inputs: str | Sequence[str], options: UrlOpti
     got = asked.mapInArrow(_fetcher(o, fetch), _FETCHED).persist()
     text = F.decode("body", "UTF-8")
     kind = header("content-type")
-    length = header("content-length").try_cast("long") if hasattr(F.col("x"), "try_cast") else header("content-length").cast("long")
+    length = header("content-length").try_cast("long")
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
