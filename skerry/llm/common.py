@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows to an Arrow batch: texts are long, and a batch is held on both sides of the pipe.
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``ARROW_ROWS``, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -47,9 +60,24 @@ def text_of(column: str = "text") -> Column:
 
 def plain_text(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id, text), text never null; any further columns are left behind."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """One column ``row`` with all columns of ``docs``; ``texts_in`` finds the text in it."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def texts_in(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch of (row) or (row, text), null as the empty text."""
+    own = batch.column(1) if batch.num_columns > 1 else batch.column(0).field(batch.column(0).type.get_field_index("text"))
+    if own.null_count:
+        own = pc.fill_null(own, "")
+    return own
+
+
 def with_text(docs: DataFrame, row: str, changed: Column, text: Column) -> list[Column]:
     """The columns of ``docs`` out of the struct ``row``, with ``text`` (and n_chars) replaced where ``changed``."""
     new = {"text": text, "n_chars": F.length(text)}

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, with_text, written
+from .common import text_of, texts_in, whole_rows, with_text, written
+from .labelled import by_id
 
 #: Bytes that end words become spaces, A-Z becomes a-z.
 _NORMAL = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -156,7 +157,7 @@ _SPANS = "spans array<struct<from:long,to:long>>, items array<string>"
 
 
 def scan_texts(rows: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = 1_000_000, clean: bool = False) -> DataFrame:
-    """For ``rows`` of (row, text): row, n_words, n_hit, spans of words, items (sorted ids), and with ``clean`` clean_text.
+    """For ``rows`` of (row, text), or of (row) with the text in it: row, n_words, n_hit, spans of words, items (sorted ids), and with ``clean`` clean_text.
 
     ``row`` is any struct that travels along, so callers keep their columns
     without a join.  ``clean_text`` is the text without the hit words, each
@@ -166,12 +167,13 @@ def scan_texts(rows: DataFrame, benchmark: DataFrame, *, window: int = 10, max_w
     words = items.agg(F.sum(F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))).first()[0] or 0
     groups = max(1, -(-words // max_words))
     row = "row " + rows.schema["row"].dataType.simpleString()
-    out = rows.select("row", text_of().alias("text"), F.lit(None).cast("array<struct<from:long,to:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    text = "text string, " if "text" in rows.columns else ""
+    out = rows
     for g in range(groups):
         part = items if groups == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(groups)) == g)
         automaton = SuffixAutomaton([(r["item"], normal_words(r["text"])) for r in part.collect()], window)
         if g < groups - 1:
-            out = written(out.mapInArrow(_scanner(automaton, False, False), f"{row}, text string, {_SPANS}"), "decontaminate")
+            out = written(out.mapInArrow(_scanner(automaton, False, False), f"{row}, {text}{_SPANS}"), "decontaminate")
     head = f"{row}, clean_text string" if clean else row
     return out.mapInArrow(_scanner(automaton, True, clean), f"{head}, n_words long, n_hit long, {_SPANS}")
 
@@ -202,9 +204,11 @@ def _scanner(automaton: SuffixAutomaton, last: bool, clean: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old_spans, old_items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            again = "spans" in batch.schema.names
+            old_spans, old_items = (batch.column(k).to_pylist() if again else [None] * batch.num_rows for k in ("spans", "items"))
+            texts = texts_in(batch.drop_columns(["spans", "items"]) if again else batch)
             n_words, n_hit, spans, items, cleaned = [], [], [], [], []
-            for value, olds, oldi in zip(batch.column(1), old_spans, old_items):
+            for value, olds, oldi in zip(texts, old_spans, old_items):
                 text = value.as_py()
                 words = normal_words(text)
                 here, found = automaton.scan(words)
@@ -222,8 +226,8 @@ def _scanner(automaton: SuffixAutomaton, last: bool, clean: bool):
                 out["clean_text"] = pa.array(cleaned, pa.string())
             if last:
                 out |= {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64())}
-            else:
-                out["text"] = batch.column(1)
+            elif "text" in batch.schema.names:
+                out["text"] = texts
             yield pa.RecordBatch.from_pydict(out | {"spans": pa.array(spans, pa.list_(span)), "items": pa.array(items, pa.list_(pa.string()))})
 
     return run
@@ -231,8 +235,7 @@ def _scanner(automaton: SuffixAutomaton, last: bool, clean: bool):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, spans, items of every document."""
-    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text")
-    found = scan_texts(rows, benchmark, **options)
+    found = scan_texts(by_id(docs), benchmark, **options)
     return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
 
 
@@ -241,6 +244,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
 
     The columns of ``docs`` are kept; ``n_chars``, where there is one, follows the text.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = scan_texts(rows, benchmark, window=window, clean=True).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    found = scan_texts(whole_rows(docs), benchmark, window=window, clean=True).where(F.col("n_hit") <= max_coverage * F.col("n_words"))
     return found.select(*with_text(docs, "row", F.col("n_hit") > 0, F.col("clean_text")))

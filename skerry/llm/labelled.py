@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, plain_text, text_of
+from .common import byte_slices, plain_text, small_batches, text_of, texts_in
 
 FOLDS = 5
 
@@ -52,13 +52,18 @@ def collect_features(rows: DataFrame, extract: Callable) -> tuple[np.ndarray, np
     return ptr, ids, counts, np.array([r["label"] for r in got], np.int64)
 
 
-def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], *, row: Column | None = None) -> DataFrame:
-    """(row, text, score) of every row; ``score`` maps (bytes, offsets) of a run of texts to probabilities."""
-    rows = docs.select((row if row is not None else F.struct(F.col("doc_id").cast("long").alias("doc_id"))).alias("row"), text_of().alias("text"))
+def by_id(docs: DataFrame) -> DataFrame:
+    """(row struct<doc_id>, text)."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), text_of().alias("text"))
+
+
+def scored(rows: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(row, score) of ``rows`` of (row) or (row, text); ``score`` maps (bytes, offsets) of a run of texts to probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [score(raw, offsets) for _, _, raw, offsets in byte_slices(b.column(1))]
+            parts = [score(raw, offsets) for _, _, raw, offsets in byte_slices(texts_in(b))]
             values = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_pydict({"row": b.column(0), "score": pa.array(values, pa.float64())})
 

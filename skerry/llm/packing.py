@@ -46,8 +46,8 @@ from pyspark.sql import functions as F
 from .common import byte_slices, plain_text, written
 from .textvec import LOWER, hash_spans, words_of
 
-#: Entries of each of the two generations of the cache; a worker's cache stays under about 200 MB.
-CACHE_WORDS = 500_000
+#: Strings a worker's cache holds at most, and how many new ones it takes before they are sorted in; some 30 bytes each.
+CACHE_WORDS, CACHE_YOUNG = 1_500_000, 60_000
 _U = np.uint64
 #: Bytes of a-z and of the Latin-1 letters in UTF-8, whose lead byte is C3; C3 97 and C3 B7 are no letters.
 _LETTER = np.zeros(256, bool)
@@ -76,7 +76,7 @@ class WordCachedTokenizer:
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._young: dict[int, bytes] = {}
-        self._old: dict[int, bytes] = {}
+        self._keys, self._place, self._size, self._flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         self._marks = [b"", *self._encode([".", ","])]
 
     def _encode(self, strings: list[str]) -> list[bytes]:
@@ -93,30 +93,43 @@ class WordCachedTokenizer:
                 out += self._encode(group)
         return out
 
-    def _learn(self, keys: list[int], missing: list[int], string, plain: list[bool]) -> dict[int, bytes]:
-        """Values of the keys at ``missing``; ``string(i)`` is the text of the i-th key."""
-        found: dict[int, bytes] = {}
+    def _settled(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the sorted part of the cache holds, and where."""
+        at = np.minimum(np.searchsorted(self._keys, keys), max(0, len(self._keys) - 1))
+        return (self._keys[at] == keys if len(self._keys) else np.zeros(len(keys), bool)), at
+
+    def _settle(self) -> None:
+        """Sort the young strings in; a full cache starts again from them."""
+        keys = np.fromiter(self._young, np.uint64, len(self._young))
+        sizes = np.fromiter((len(v) // 4 for v in self._young.values()), np.int64, len(self._young))
+        flat = np.frombuffer(b"".join(self._young.values()), "<u4")
+        place = np.cumsum(sizes) - sizes
+        if len(self._keys) + len(keys) <= CACHE_WORDS:
+            keys, place, sizes, flat = (np.concatenate(x) for x in ((self._keys, keys), (self._place, place + len(self._flat)), (self._size, sizes), (self._flat, flat)))
+        order = np.argsort(keys)
+        self._keys, self._place, self._size, self._flat = keys[order], place[order], sizes[order], flat
+        self._young = {}
+
+    def _learn(self, missing: list[tuple[int, int]], string, plain: list[bool]) -> None:
+        """Put the values of (key, number) pairs into the young part; ``string(i)`` is the text of number i."""
+        young = self._young
         letters: dict[int, str] = {}
         other: dict[int, str] = {}
-        for i in missing:
-            key = keys[i]
-            bare = key & ~3
-            ids = self._old.get(key)
-            if ids is not None:
-                found[key] = ids
-            elif not plain[i]:
+        for key, i in missing:
+            if not plain[i]:
                 other[key] = string(i)
-            elif (ids := self._young.get(bare) or self._old.get(bare)) is not None:
-                found[bare] = ids
-            else:
-                letters[bare] = string(i)
-        found |= zip(letters, self._encode_letters(list(letters.values())))
-        found |= zip(other, self._encode(list(other.values())))
-        for i in missing:
-            key = keys[i]
-            if key not in found:
-                found[key] = found[key & ~3] + self._marks[key & 3]
-        return found
+            elif key & ~3 not in young:
+                letters[key & ~3] = string(i)
+        bare = np.fromiter(letters, np.uint64, len(letters))
+        held, at = self._settled(bare)
+        for key, k in zip(bare[held].tolist(), at[held].tolist()):
+            young[key] = self._flat[self._place[k] : self._place[k] + self._size[k]].tobytes()
+            del letters[key]
+        young |= zip(letters, self._encode_letters(list(letters.values())))
+        young |= zip(other, self._encode(list(other.values())))
+        for key, _ in missing:
+            if key not in young:
+                young[key] = young[key & ~3] + self._marks[key & 3]
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of the run ``raw[offsets[i]:offsets[i + 1]]``."""
@@ -134,24 +147,28 @@ class WordCachedTokenizer:
         plain = odds[bare] == odds[start]
         bare, mark = np.where(plain, bare, end), np.where(plain, mark, _U(0))
         key, at, inverse = np.unique(hash_spans(low, start, bare) & ~_U(3) | mark | _U(3) * ~plain, return_index=True, return_inverse=True)
-        keys = key.tolist()
-        if len(self._young) > CACHE_WORDS:
-            self._young, self._old = {}, self._young
-        known = self._young
-        values = [known.get(k) for k in keys]
-        missing = [i for i, v in enumerate(values) if v is None]
+        if len(self._young) > CACHE_YOUNG:
+            self._settle()
+        held, where = self._settled(key)
+        fresh = np.flatnonzero(~held)
+        keys = key[fresh].tolist()
+        missing = [(k, i) for i, k in enumerate(keys) if k not in self._young]
         if missing:
-            data, begin, stop = low.tobytes(), start[at].tolist(), bare[at].tolist()
-            learnt = self._learn(keys, missing, lambda i: data[begin[i] : stop[i]].decode("utf-8", "replace"), plain[at].tolist())
-            known |= learnt
-            for i in missing:
-                values[i] = learnt[keys[i]]
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        flat = np.frombuffer(b"".join(values), "<u4")
-        place = np.cumsum(sizes) - sizes
+            data, first = low.tobytes(), at[fresh]
+            begin, stop = start[first].tolist(), bare[first].tolist()
+            self._learn(missing, lambda i: data[begin[i] : stop[i]].decode("utf-8", "replace"), plain[first].tolist())
+        values = [self._young[k] for k in keys]
+        own = np.frombuffer(b"".join(values), "<u4")
+        sizes, place = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        sizes[held], place[held] = self._size[where[held]], self._place[where[held]]
+        sizes[fresh] = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        place[fresh] = np.cumsum(sizes[fresh]) - sizes[fresh]
         n = sizes[inverse]
         ends = np.cumsum(n)
-        out = flat[np.arange(ends[-1]) + np.repeat(place[inverse] - (ends - n), n)]
+        index = np.arange(ends[-1]) + np.repeat(place[inverse] - (ends - n), n)
+        old = np.repeat(held[inverse], n)
+        out = np.empty(len(index), "<u4")
+        out[old], out[~old] = self._flat[index[old]], own[index[~old]]
         bounds = np.concatenate([[0], ends])[words.first]
         return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 

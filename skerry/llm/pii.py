@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, with_text
+from .common import texts_in, whole_rows, with_text
 from .crf import Crf, train
+from .labelled import by_id
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
@@ -289,14 +290,14 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def scan_texts(rows: DataFrame, *, redact: bool = False) -> DataFrame:
-    """For ``rows`` of (row, text): row, base, spans (arrays of kind, from, to), and with ``redact`` clean_text."""
+    """For ``rows`` of (row, text), or of (row) with the text in it: row, base, spans (arrays of kind, from, to), and with ``redact`` clean_text."""
     crf = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                texts = b.column(1).to_pylist()
+                texts = texts_in(b).to_pylist()
                 found = all_spans(texts, crf)
                 as_rows = lambda spans: [{"kind": k, "from": x, "to": y} for k, x, y in spans]
                 out = {"row": b.column(0), "base": pa.array([as_rows(f[0]) for f in found], pa.list_(_SPAN)), "spans": pa.array([as_rows(f[1]) for f in found], pa.list_(_SPAN))}
@@ -305,17 +306,16 @@ def scan_texts(rows: DataFrame, *, redact: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, base {_SPAN_SQL}, spans {_SPAN_SQL}" + ", clean_text string" * redact
-    return rows.select("row", text_of().alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans of every row."""
-    found = scan_texts(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("row"), "text"))
+    found = scan_texts(by_id(docs))
     return found.select("row.doc_id", "base", "spans")
 
 
 def redact_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with all spans replaced by their kind, all columns; ``n_chars`` follows the text."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = scan_texts(rows, redact=True)
+    found = scan_texts(whole_rows(docs), redact=True)
     return found.select(*with_text(docs, "row", F.size("spans") > 0, F.col("clean_text")))

@@ -21,8 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text
-from .labelled import collect_features, held_out, scored, sigmoid, training_rows
+from .common import whole_rows, with_text
+from .labelled import by_id, collect_features, held_out, scored, sigmoid, training_rows
 from .textfeatures import features
 
 LABEL, THRESHOLD = "quality", 0.3
@@ -74,11 +74,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 10_000,
 
 def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    out = scored(docs, model.score)
+    out = scored(by_id(docs), model.score)
     return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, *, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return scored(docs, model.score, row=row).where(F.col("score") >= threshold).select(*with_text(docs, "row", F.lit(False), F.lit(None)))
+    return scored(whole_rows(docs), model.score).where(F.col("score") >= threshold).select(*with_text(docs, "row", F.lit(False), F.lit(None)))

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import collect_features, held_out, scored, sigmoid, training_rows
+from .labelled import by_id, collect_features, held_out, scored, sigmoid, training_rows
 from .textfeatures import features
 
 LABEL, THRESHOLD, PREFIXES = "toxic", 0.5, (6,)
@@ -102,5 +102,5 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    out = scored(docs, model.score)
+    out = scored(by_id(docs), model.score)
     return out.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
