@@ -11,7 +11,8 @@ and when the second part turns negative its gradient is reversed, which keeps
 a flexible scorer from driving it below zero (the non-negative correction).
 g is linear over the presence of hashed words and word prefixes; only features
 of at least ``min_texts`` positives take part, and an L1 step after each Adam
-update leaves a few thousand weights.
+update leaves a few thousand weights.  The intercept then moves half the way to
+where the share of the unlabelled called toxic equals the prior, never back.
 
 Training is numpy on the driver over at most ``max_rows`` labelled texts (the
 documented bound).  Scoring is one pass over all texts without a shuffle; only
@@ -90,6 +91,10 @@ def nnpu(ptr, ids, labels, *, bits: int, prior: float | None = None, steps: int
         var = 0.999 * var + 0.001 * grad * grad
         w -= rate * (mean / (1 - 0.9**k)) / (np.sqrt(var / (1 - 0.999**k)) + 1e-6)
         w[:size] = np.sign(w[:size]) * np.maximum(0, np.abs(w[:size]) - rate * l1)
+    # where fewer of the unlabelled are called toxic than the prior says, the intercept goes half the way there
+    g_u = np.sort(np.bincount(ru, w[iu], n_u) + w[size])[::-1]
+    called = min(n_u - 1, max(1, round(pi * n_u)))
+    w[size] -= min(0.0, (g_u[called - 1] + g_u[called]) / 2) / 2
     held = np.flatnonzero(w[:size])
     return ToxicityModel(used[held], w[held].astype(np.float32), float(w[size]), bits)
 
