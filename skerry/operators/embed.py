@@ -16,6 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +99,8 @@ class Embedder:
     def embed_query(self, text: str) -> list[float]:
         return self._checked(self.factory(), [recipe_of(self.model).query + text])[0]
 
-    def embed_column(self, rows: DataFrame, text: str, *, into: str = "embedding", query: bool = False) -> DataFrame:
-        """``rows`` with the vector of a text column, order within batches kept; progress is an accumulator-free count of rows."""
+    def embed_column(self, rows: DataFrame, text: str, *, into: str = "embedding", query: bool = False, progress: Accumulator | None = None) -> DataFrame:
+        """``rows`` with the vector of a text column; ``progress`` counts the rows done (more than once where a task is retried)."""
         prefix = recipe_of(self.model).query if query else recipe_of(self.model).passage
         factory, size, checked = self.factory, self.batch, self._checked
         packed = rows.select(F.struct(*rows.columns).alias("row"), F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit(""))).alias("text"))
@@ -109,6 +110,8 @@ class Embedder:
             for b in batches:
                 texts = b.column(1).to_pylist()
                 vectors = [v for lo in range(0, len(texts), size) for v in checked(backend, texts[lo : lo + size])]
+                if progress is not None:
+                    progress.add(len(texts))
                 yield pa.RecordBatch.from_pydict({"row": b.column(0), into: pa.array(vectors, pa.list_(pa.float32()))})
 
         out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {into} array<float>")

@@ -13,6 +13,17 @@ def holds_evidence(text: Column, evidence: Column) -> Column:
     return F.coalesce(F.exists(evidence, lambda e: F.contains(text, e)), F.lit(False))
 
 
+def missing_evidence(questions: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, phrase) of evidence that no text holds: a check of the questions, or with chunks as texts of the chunker.
+
+    Phrases are a stated query set; each text is read once and names the
+    phrases it holds.
+    """
+    phrases = questions.select("id", F.explode("evidence").alias("phrase")).distinct()
+    held = texts.select(normalize_evidence(F.coalesce("text", F.lit(""))).alias("text")).join(F.broadcast(phrases.select("phrase").distinct()), F.contains("text", F.col("phrase")))
+    return phrases.join(held.select("phrase").distinct(), "phrase", "left_anti").select("id", "phrase")
+
+
 def first_relevant(questions: DataFrame, hits: DataFrame, *, depth: int = 10) -> DataFrame:
     """(id, type, first_rank): the best rank up to ``depth`` whose text holds evidence, null if none.
 

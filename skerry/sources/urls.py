@@ -44,6 +44,8 @@ class UrlOptions:
     max_bytes: int = DEFAULT_MAX_BYTES
     user_agent: str = "skerry"
     headers: dict[str, str] = field(default_factory=dict)
+    #: Asked before every request, where it is made; true ends the read with the reason "cancelled".
+    cancelled: Callable[[], bool] | None = None
 
 
 Fetch = Callable[[str, UrlOptions], Response]
@@ -71,6 +73,8 @@ def _attempts(url: str, options: UrlOptions, fetch: Fetch, sleep: Callable[[floa
     """The last response and "", or None and the reason."""
     for attempt in range(options.retries + 1):
         response, reason = None, ""
+        if options.cancelled and options.cancelled():
+            return None, "cancelled"
         try:
             response = fetch(url, options)
         except TimeoutError:

@@ -70,6 +70,11 @@ def test_retries_and_pauses(first, pauses):
     assert response.body == b"ok" and slept == pauses
 
 
+def test_cancelled_reads_are_rows():
+    response, reason = _attempts("u", UrlOptions(cancelled=lambda: True), None, None)
+    assert response is None and reason == "cancelled"
+
+
 def test_corpus(spark, tmp_path):
     tree(tmp_path)
     (tmp_path / "index.md").write_text('---\ntitle: "Start"\n---\nimport X from "x"\n\n<Card>Text</Card>\n\n\n\nEnd')
