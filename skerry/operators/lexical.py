@@ -31,7 +31,7 @@ def term_table(chunks: DataFrame, *, text: str = "search_text", stem: bool = Fal
 def postings(chunks: DataFrame, *, text: str = "search_text", stem: bool = False) -> DataFrame:
     """(namespace, id, term, tf, length): the inverted index."""
     table = term_table(chunks, text=text, stem=stem)
-    return table.select("namespace", "id", "length", F.explode("words").alias("term")).groupBy("namespace", "id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return table.select("namespace", "id", "length", F.explode_outer("words").alias("term")).where("term is not null").groupBy("namespace", "id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
 def corpus_stats(chunks: DataFrame, *, text: str = "search_text", stem: bool = False, scope: str = "namespace") -> DataFrame:
@@ -59,12 +59,12 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, *, text: s
     few = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hint = F.broadcast if few else (lambda df: df)
     table = term_table(chunks, text=text, stem=stem)
-    own = table.select("namespace", "id", "length", F.explode("words").alias("term")).join(hint(vocabulary), ["namespace", "term"], "left_semi")
+    # explode_outer: a plain explode would have Spark test the size of the words first, and so split every text twice
+    own = table.select("namespace", "id", "length", F.explode_outer("words").alias("term")).join(hint(vocabulary), ["namespace", "term"], "left_semi")
     counted = own.groupBy("namespace", "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    if scope == "namespace":
-        df = counted.groupBy("namespace", "term").agg(F.count("*").alias("df"))
-    else:
-        df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    # read of all columns of ``counted``, so that both uses share one scan and one exchange
+    chunks_with = F.count_if((F.col("tf") > 0) & (F.col("length") >= 0)).alias("df")
+    df = counted.groupBy(*(["namespace", "term"] if scope == "namespace" else ["term"])).agg(chunks_with)
     stats = corpus_stats(chunks, text=text, stem=stem, scope=scope)
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
