@@ -10,9 +10,12 @@ HEADER_SEPARATOR = " › "
 #: Characters that have no width.
 ZERO_WIDTH = "[​-‍﻿]"
 #: Entities decoded in titles; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
 #: Words left out by the experiment's lexer.
-STOP_WORDS = "a an and are as at be by do for from how i in is it my of on or that the this to what when where which who why will with you".split()
+STOP_WORDS = (
+    "a an and are as at be but by can could do does did for from has have how i if in into is it its me my of on or our so that the their them then there these they "
+    "this to up us was we what when where which who why will with would you your"
+).split()
 
 
 def document_id(namespace: Column, uri: Column) -> Column:
@@ -66,8 +69,8 @@ def strip_zero_width(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
+    for name, plain in ENTITIES.items():
+        text = F.regexp_replace(text, f"(?i)&{name};", plain)
     return text
 
 
@@ -78,8 +81,8 @@ def _filled(text: Column) -> Column:
 def url_title(url: Column, body: Column) -> Column:
     """The page's <title>, else its first "# " line, else the last path segment, else the url."""
     tag = F.regexp_replace(decode_entities(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1)), r"(?U)\s+", " ")
-    heading = F.regexp_extract(body, r"(?m)^# (.+)$", 1)
-    segment = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"://[^/]+/(?:.*/)?([^/]+)/?$", 1)
+    heading = F.regexp_extract(body, r"(?m)^#\s+(.+)$", 1)
+    segment = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"://[^/]+/(?:.*/)?([^/]*)$", 1)
     return F.coalesce(_filled(tag), _filled(heading), _filled(segment), url)
 
 
@@ -92,8 +95,8 @@ def is_html(content_type: Column, uri: Column, text: Column) -> Column:
 
 
 def normalize_evidence(text: Column) -> Column:
-    """Lower case, straight quotes, images and links as their text, no markup, single spaces."""
+    """Lower case, straight quotes, no images, links as their text, no emphasis or code marks, single spaces."""
     out = F.translate(F.lower(text), "‘’“”", "''\"\"")
-    for pattern, new in ((r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_`#>|]", " "), (r"(?U)\s+", " ")):
+    for pattern, new in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"[*_`]", ""), (r"(?U)\s+", " ")):
         out = F.regexp_replace(out, pattern, new)
     return F.trim(out)

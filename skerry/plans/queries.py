@@ -22,6 +22,7 @@ from ..operators.store import MemoryStore
 from ..operators.sync import classify, plan_update, summarize
 from ..operators.vector import vector_search
 from ..sources.corpus import clean_markdown
+from ..sources.files import refusal
 from .index import index_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,10 +118,10 @@ def document_ids(spark, sf_dir):
     return pages.select("page_id", fn.document_id(F.lit("web"), F.col("url")).alias("id"), fn.content_hash(F.col("html")).alias("content_hash"))
 
 
-@query("""SELECT doc_id, CASE WHEN strlen(text) > 10000 THEN 'larger than the limit of 10000 bytes' WHEN contains(text, chr(0)) THEN 'binary file' END AS reason FROM documents""")
+@query("""SELECT doc_id, CASE WHEN strlen(text) > 10000 THEN 'file is ' || strlen(text) || ' bytes, over the 10000 byte limit' WHEN contains(text, chr(0)) THEN 'looks like a binary file' END AS reason FROM documents""")
 def load_refusals(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    reason = F.when(F.octet_length("text") > 10_000, "larger than the limit of 10000 bytes").when(F.contains("text", F.lit("\x00")), "binary file")
+    reason = refusal(F.octet_length("text"), F.col("text"), 10_000)
     return docs.select("doc_id", reason.alias("reason"))
 
 
@@ -131,7 +132,7 @@ def placeholder_titles(spark, sf_dir):
 
 @query(r"""
 SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages""")
 def url_titles(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", fn.url_title(F.col("url"), F.col("html")).alias("title"))
 
@@ -155,7 +156,7 @@ def chunk_fingerprints(spark, sf_dir):
 
 @query(r"""
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '‘’“”', '''''""'),
-  '!\[[^\]]*\]\([^)]*\)', ' ', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`#>|]', ' ', 'g'), '\s+', ' ', 'g'))) AS normalized FROM documents""")
+  '!\[[^\]]*\]\([^)]*\)', '', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*_`]', '', 'g'), '\s+', ' ', 'g'))) AS normalized FROM documents""")
 def evidence_normalizer(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.normalize_evidence(F.col("text")), 256).alias("normalized"))
 
@@ -375,7 +376,7 @@ def store_roundtrip(spark, sf_dir):
 
 # -- evaluation ------------------------------------------------------------
 
-_NORMAL = r"trim(regexp_replace(regexp_replace(lower({}), '[*_`#>|]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({}), '[*_`]', '', 'g'), '\s+', ' ', 'g'))"
 _RANKS = f"""
 ev AS (SELECT item_id AS id, CASE item_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'paraphrase' ELSE 'mixed' END AS type, {_NORMAL.format("text")} AS e FROM benchmark),
 ranks AS (

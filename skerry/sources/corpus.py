@@ -10,10 +10,13 @@ from .files import load_files
 #: What is removed, in this order, and what it becomes.
 CLEANING = [
     (r"(?s)\A---\n.*?\n---\n", ""),
-    (r"(?m)^(?:import|export)\s.*$", ""),
-    (r"(?s)\{/\*.*?\*/\}", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"</?[A-Za-z][\w.]*(?:\s[^<>]*)?/?>", ""),
+    (r"(?s)<head>.*?</head>", ""),
+    (r"(?m)^import .*$", ""),
+    (r"(?s)<CtaBox.*?/>", ""),
+    (r"<img[^>]*/?>", ""),
+    (r"(?m)^\s*</?div[^>]*>\s*$", ""),
+    (r"(?m)^:::\w+[ \t]*(.*)$", "$1"),
+    (r"(?m)^:::\s*$", ""),
     (r"\n{3,}", "\n\n"),
 ]
 
@@ -25,10 +28,9 @@ def clean_markdown(text: Column) -> Column:
 
 
 def load_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, title, text) of every ``.md`` but the licence, id being the path without its extension."""
+    """(id, title, text) of every ``.md`` but the licence; the id is the path, and the title without front matter."""
     documents, _ = load_files(spark, folder, include=("**/*.md",))
-    kept = documents.where(~F.col("uri").rlike(r"(?i)(^|/)licen[sc]e\.md$"))
-    title = F.regexp_extract("text", r"(?m)^title:[ \t]*[\"']?(.+?)[\"']?[ \t]*$", 1)
-    return kept.select(
-        F.regexp_replace("uri", r"\.md$", "").alias("id"), F.coalesce(F.nullif(title, F.lit("")), F.col("title")).alias("title"), clean_markdown(F.col("text")).alias("text")
-    ).orderBy("id")
+    kept = documents.where(~F.col("uri").rlike(r"(^|/)LICENSE\.md$"))
+    front = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
+    title = F.regexp_replace(F.trim(F.regexp_extract(front, r"(?m)^title:\s*(.*)$", 1)), r"^[\"']|[\"']$", "")
+    return kept.select(F.col("uri").alias("id"), F.coalesce(F.nullif(title, F.lit("")), F.col("uri")).alias("title"), clean_markdown(F.col("text")).alias("text")).orderBy("id")

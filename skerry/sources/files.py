@@ -10,7 +10,7 @@ import os
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import content_hash, document_id, path_title
@@ -73,6 +73,12 @@ def _listed(inputs: Sequence[str], root: str, include: Sequence[str], exclude: S
     return found, failed
 
 
+def refusal(size: Column, text: Column, max_bytes: int) -> Column:
+    """Why a file is not read, or null."""
+    large = F.concat(F.lit("file is "), size.cast("string"), F.lit(f" bytes, over the {max_bytes} byte limit"))
+    return F.when(size > max_bytes, large).when(F.contains(text, F.lit("\x00")), "looks like a binary file")
+
+
 def load_files(
     spark: SparkSession, inputs: str | Sequence[str], *, namespace: str = "default", include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE, root: str | None = None, max_bytes: int = DEFAULT_MAX_BYTES
 ) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +94,7 @@ def load_files(
     text = F.decode("content", "UTF-8")
     rows = raw.withColumn("path", F.call_function("url_decode", F.replace(F.regexp_replace("path", r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))).join(F.broadcast(names), "path")
     rows = rows.select("uri", "length", "modificationTime", "content", text.alias("text"))
-    reason = F.when(F.col("length") > max_bytes, F.concat(F.lit("larger than the limit of "), F.lit(max_bytes), F.lit(" bytes"))).when(F.contains("text", F.lit("\x00")), "binary file")
+    reason = refusal(F.col("length"), F.col("text"), max_bytes)
     rows = rows.withColumn("reason", reason)
     documents = rows.where("reason is null").select(
         document_id(F.lit(namespace), F.col("uri")).alias("id"),

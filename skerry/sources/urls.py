@@ -119,9 +119,10 @@ def load_urls(spark: SparkSession, inputs: str | Sequence[str], options: UrlOpti
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        .when((F.coalesce(kind, F.lit("")) != "") & ~kind.rlike(TEXT_TYPES), F.concat(F.lit("unsupported content type "), kind))
-        .when((length > o.max_bytes) | (F.length("body") > o.max_bytes), F.lit(f"larger than the limit of {o.max_bytes} bytes"))
-        .when(F.contains(text, F.lit("\x00")), F.lit("binary content"))
+        .when((F.coalesce(kind, F.lit("")) != "") & ~kind.rlike(TEXT_TYPES), F.concat(F.lit("unsupported content type: "), kind))
+        .when(length > o.max_bytes, F.concat(F.lit("response is "), length.cast("string"), F.lit(f" bytes, over the {o.max_bytes} byte limit")))
+        .when(F.length("body") > o.max_bytes, F.lit(f"response is over the {o.max_bytes} byte limit"))
+        .when(F.contains(text, F.lit("\x00")), F.lit("looks like a binary response"))
     )
     rows = got.withColumn("text", text).withColumn("why", reason)
     values = {"status": F.col("status").cast("string"), "contentType": kind, "bytes": F.length("body").cast("string"), "etag": header("etag"), "lastModified": header("last-modified")}

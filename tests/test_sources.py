@@ -25,7 +25,7 @@ def test_folder_scan(spark, tmp_path):
     assert [r["uri"] for r in rows] == ["LICENSE.md", "guides/billing-refunds.md", "guides/deep/nested/setup.html", "guides/notes.txt", "guides/odd [1].md", "index.md"]
     assert {r["uri"]: r["title"] for r in rows}["guides/billing-refunds.md"] == "billing refunds"
     reasons = {r["uri"]: r["reason"] for r in failed.collect()}
-    assert reasons["link.md"] == "symbolic link skipped" and "limit" in reasons["guides/big.md"] and reasons["bin.txt"] == "binary file"
+    assert reasons["link.md"] == "symbolic link skipped" and reasons["guides/big.md"] == "file is 300 bytes, over the 200 byte limit" and reasons["bin.txt"] == "looks like a binary file"
     assert len(rows[0]["id"]) == 16 and len(rows[0]["content_hash"]) == 64
 
 
@@ -60,7 +60,7 @@ def test_urls(spark):
     assert [(r["uri"], r["title"]) for r in docs.collect()] == [("https://e.org/page", "A & B"), ("https://e.org/target", "Heading"), ("https://e.org/docs/bare", "bare")]
     assert docs.first()["metadata"]["etag"] == "v1"
     reasons = {r["uri"].rsplit("/", 1)[1]: r["reason"] for r in failed.collect()}
-    assert reasons == {"pdf": "unsupported content type application/pdf", "big": "larger than the limit of 1000 bytes", "declared": "larger than the limit of 1000 bytes", "404": "HTTP 404", "slow": "timed out"}
+    assert reasons == {"pdf": "unsupported content type: application/pdf", "big": "response is over the 1000 byte limit", "declared": "response is 9999 bytes, over the 1000 byte limit", "404": "HTTP 404", "slow": "timed out"}
 
 
 @pytest.mark.parametrize("first,pauses", [({}, [0.25, 0.5]), ({"retry-after": "3"}, [3.0, 3.0])])
@@ -77,6 +77,7 @@ def test_cancelled_reads_are_rows():
 
 def test_corpus(spark, tmp_path):
     tree(tmp_path)
-    (tmp_path / "index.md").write_text('---\ntitle: "Start"\n---\nimport X from "x"\n\n<Card>Text</Card>\n\n\n\nEnd')
+    (tmp_path / "index.md").write_text('---\ntitle: "Start"\n---\nimport X from "x"\n\n<div class="a">\nText <img src=x/>\n</div>\n\n\n:::note Mind this\nEnd\n:::')
     rows = {r["id"]: r for r in load_corpus(spark, str(tmp_path)).collect()}
-    assert "LICENSE" not in rows and rows["index"]["title"] == "Start" and rows["index"]["text"] == "Text\n\nEnd"
+    assert "LICENSE.md" not in rows and rows["index.md"]["title"] == "Start" and rows["guides/big.md"]["title"] == "guides/big.md"
+    assert rows["index.md"]["text"].split() == ["Text", "Mind", "this", "End"]
