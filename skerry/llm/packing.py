@@ -47,7 +47,7 @@ from .common import byte_slices, plain_text, written
 from .textvec import LOWER, hash_spans, words_of
 
 #: Strings a worker's cache holds at most, and how many new ones it takes before they are sorted in; some 30 bytes each.
-CACHE_WORDS, CACHE_YOUNG = 1_500_000, 60_000
+CACHE_WORDS, CACHE_YOUNG = 700_000, 40_000
 _U = np.uint64
 #: Bytes of a-z and of the Latin-1 letters in UTF-8, whose lead byte is C3; C3 97 and C3 B7 are no letters.
 _LETTER = np.zeros(256, bool)

@@ -28,7 +28,7 @@ LOWER[65:91] += 32
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["p"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for key, base in (("p", _P), ("q", _PINV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
