@@ -6,10 +6,14 @@ the exact gradient (forward-backward), decoding is Viterbi.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Number of places, and the features of each in turn.
+Sequence = tuple[int, Iterable[list[str]]]
+
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
@@ -25,42 +29,64 @@ class Crf:
     change: np.ndarray
     start: np.ndarray
 
-    def numbers(self, sequences: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    def numbers(self, sequences: list[Sequence]) -> tuple[np.ndarray, np.ndarray]:
         """Feature numbers padded to (sequence, place, feature), unknown ones 0, and lengths."""
-        lengths = np.array([len(s) for s in sequences])
-        width = max((len(f) for s in sequences for f in s), default=1)
-        out = np.zeros((len(sequences), max(1, lengths.max(initial=1)), width), np.int64)
-        for i, s in enumerate(sequences):
-            for j, fs in enumerate(s):
+        lengths = np.array([n for n, _ in sequences])
+        out = np.zeros((len(sequences), max(1, lengths.max(initial=1)), 1), np.int32)
+        for i, (_, features) in enumerate(sequences):
+            for j, fs in enumerate(features):
+                if len(fs) > out.shape[2]:
+                    out = np.pad(out, ((0, 0), (0, 0), (0, len(fs) - out.shape[2])))
                 out[i, j, : len(fs)] = [self.known.get(f, 0) for f in fs]
         return out, lengths
 
-    def viterbi(self, sequences: list[list[list[str]]], batch: int = 512) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for lo in range(0, len(sequences), batch):
-            ids, lengths = self.numbers(sequences[lo : lo + batch])
-            scores = self.emit[ids].sum(2)
-            best = scores[:, 0] + self.start
-            back = np.zeros(scores.shape, np.int64)
-            for t in range(1, scores.shape[1]):
-                paths = best[:, :, None] + self.change
-                back[:, t] = paths.argmax(1)
-                on = (t < lengths)[:, None]
-                best = np.where(on, paths.max(1) + scores[:, t], best)
-            tags = np.zeros(scores.shape[:2], np.int64)
-            tag = best.argmax(1)
-            rows = np.arange(len(ids))
-            for t in range(scores.shape[1] - 1, -1, -1):
-                tags[:, t] = tag
-                tag = np.where(t < lengths, back[rows, t, tag], tag)
-            out += [tags[i, :n] for i, n in enumerate(lengths)]
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """Sums of the features' weights, feature by feature, so that nothing wider than the scores is made."""
+        scores = self.emit[ids[:, :, 0]]
+        for f in range(1, ids.shape[2]):
+            scores += self.emit[ids[:, :, f]]
+        return scores
+
+    def viterbi(self, sequences: list[Sequence], most: int = 1 << 14) -> list[np.ndarray]:
+        """The best tags of every sequence.
+
+        Sequences of like length are worked together, ``most`` places of them
+        at a time with the padding; a longer one comes alone.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(sequences)
+        order = sorted(range(len(sequences)), key=lambda i: sequences[i][0])
+        while order:
+            n = 1
+            while n < len(order) and (n + 1) * sequences[order[n]][0] <= most:
+                n += 1
+            own, order = order[:n], order[n:]
+            for i, tags in zip(own, self._best([sequences[i] for i in own])):
+                out[i] = tags
         return out
 
+    def _best(self, sequences: list[Sequence]) -> list[np.ndarray]:
+        ids, lengths = self.numbers(sequences)
+        scores = self.emissions(ids)
+        best = scores[:, 0] + self.start
+        back = np.zeros(scores.shape, np.int8)
+        for t in range(1, scores.shape[1]):
+            paths = best[:, :, None] + self.change
+            back[:, t] = paths.argmax(1)
+            on = (t < lengths)[:, None]
+            best = np.where(on, paths.max(1) + scores[:, t], best)
+        tags = np.zeros(scores.shape[:2], np.int8)
+        tag = best.argmax(1)
+        rows = np.arange(len(ids))
+        for t in range(scores.shape[1] - 1, -1, -1):
+            tags[:, t] = tag
+            tag = np.where(t < lengths, back[rows, t, tag], tag)
+        return [tags[i, :n] for i, n in enumerate(lengths)]
+
 
 def train(sequences: list[list[list[str]]], tags: list[list[int]], n_tags: int, *, steps: int = 120, rate: float = 0.5, l2: float = 1e-3) -> Crf:
     known = {f: i + 1 for i, f in enumerate(sorted({f for s in sequences for fs in s for f in fs}))}
     crf = Crf(known, np.zeros((len(known) + 1, n_tags)), np.zeros((n_tags, n_tags)), np.zeros(n_tags))
-    ids, lengths = crf.numbers(sequences)
+    ids, lengths = crf.numbers([(len(s), s) for s in sequences])
     n, most = ids.shape[:2]
     gold = np.zeros((n, most), np.int64)
     for i, t in enumerate(tags):
@@ -75,7 +101,7 @@ def train(sequences: list[list[list[str]]], tags: list[list[int]], n_tags: int,
     params = [crf.emit, crf.change, crf.start]
     seen = [np.full_like(p, 1e-6) for p in params]
     for _ in range(steps):
-        scores = crf.emit[ids].sum(2)
+        scores = crf.emissions(ids)
         fore = np.zeros(scores.shape)
         fore[:, 0] = scores[:, 0] + crf.start
         for t in range(1, most):

@@ -13,6 +13,9 @@ Viterbi in numpy batches.  An added span must not overlap a base span and must
 look like its kind (digits enough, a valid checksum, parts up to 255).
 
 One pass over the texts; nothing is shuffled, only the weights are broadcast.
+Texts are worked in slices of bytes, windows in batches of tokens, so memory
+follows neither the rows of a batch nor their longest text; one long window
+takes some 100 bytes a token.
 
 Defined results.  Null and empty texts have no spans.  Rows are kept one to
 one.  Positions are code points, ends exclusive.  Only the named columns are
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_in, whole_rows, with_text
+from .common import byte_slices, texts_in, whole_rows, with_text
 from .crf import Crf, train
 from .labelled import by_id
 
@@ -163,15 +166,13 @@ def _shape(token: str) -> str:
     return token if token.isascii() else "p"
 
 
-def _features(tokens: list[tuple[int, int]], text: str) -> list[list[str]]:
+def _features(tokens: list[tuple[int, int]], text: str) -> Iterator[list[str]]:
     shapes = ["<", "<", *(_shape(text[a:b]) for a, b in tokens), ">", ">"]
     glue = [False, *(tokens[i][0] == tokens[i - 1][1] for i in range(1, len(tokens))), False]
-    out = []
     for i in range(len(tokens)):
         a, b, c, d, e = shapes[i : i + 5]
         left, right = "_+"[glue[i]], "_+"[glue[i + 1]]
-        out.append([f"0{c}", f"1{b}{left}{c}", f"2{c}{right}{d}", f"3{b}{left}{c}{right}{d}", f"4{a} {b}{left}{c}", f"5{c}{right}{d} {e}", f"6{a} {c}", f"7{c} {e}"])
-    return out
+        yield [f"0{c}", f"1{b}{left}{c}", f"2{c}{right}{d}", f"3{b}{left}{c}{right}{d}", f"4{a} {b}{left}{c}", f"5{c}{right}{d} {e}", f"6{a} {c}", f"7{c} {e}"]
 
 
 def labelled_table(copies: int = 12, seed: int = 3) -> list[tuple[str, list[Span]]]:
@@ -209,7 +210,7 @@ def trained() -> Crf:
             inside = [i for i, (a, b) in enumerate(tokens) if low <= a and b <= high]
             for i in inside:
                 own[i] = TAGS.index(("B-" if i == inside[0] else "I-") + kind)
-        sequences.append(_features(tokens, text))
+        sequences.append(list(_features(tokens, text)))
         tags.append(own)
     return train(sequences, tags, len(TAGS))
 
@@ -226,6 +227,17 @@ def _fits(kind: str, text: str) -> bool:
     return bool(_SPELT.fullmatch(text))
 
 
+def _before(text: str, done: int, low: int) -> list[tuple[int, int]]:
+    """The last REACH tokens of text[done:low], found by looking back until one more is there, which may be cut."""
+    width = 24 * REACH
+    while True:
+        start = max(done, low - width)
+        found = [x.span() for x in _TOKEN.finditer(text, start, low)]
+        if start == done or len(found) > REACH:
+            return found[-REACH:]
+        width *= 4
+
+
 def _windows(text: str) -> Iterator[list[tuple[int, int]]]:
     """Runs of tokens within REACH tokens of a trigger; their cost follows the triggers, not the text."""
     done = 0
@@ -234,7 +246,7 @@ def _windows(text: str) -> Iterator[list[tuple[int, int]]]:
         low = m.start()
         if low < done:
             continue
-        before = [x.span() for x in _TOKEN.finditer(text, max(done, low - 24 * REACH), low)][-REACH:]
+        before = _before(text, done, low)
         if run and before and (before[0][0] > run[-1][1] and _TOKEN.search(text, run[-1][1], before[0][0])):
             yield run
             run = []
@@ -255,7 +267,7 @@ def all_spans(texts: list[str], crf: Crf) -> list[tuple[list[Span], list[Span]]]
     base = [base_spans(t) for t in texts]
     windows = [(i, w) for i, t in enumerate(texts) for w in _windows(t)]
     added: dict[int, list[Span]] = {}
-    for (i, tokens), tags in zip(windows, crf.viterbi([_features(w, texts[i]) for i, w in windows])):
+    for (i, tokens), tags in zip(windows, crf.viterbi([(len(w), _features(w, texts[i])) for i, w in windows])):
         j = 0
         while j < len(tags):
             if tags[j] == 0:
@@ -295,8 +307,8 @@ def scan_texts(rows: DataFrame, *, redact: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                b = whole.slice(lo, 512)
+            for lo, hi, _, _ in byte_slices(texts_in(whole)):
+                b = whole.slice(lo, hi - lo)
                 texts = texts_in(b).to_pylist()
                 found = all_spans(texts, crf)
                 as_rows = lambda spans: [{"kind": k, "from": x, "to": y} for k, x, y in spans]

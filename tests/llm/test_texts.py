@@ -2,6 +2,8 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -11,13 +13,13 @@ import public_tokenizers
 import pytest
 
 from skerry.llm.chat_format import ChatTemplate
-from skerry.llm.crf import Crf
+from skerry.llm.crf import Crf, train
 from skerry.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination, normal_words
 from skerry.llm.packing import pack, plan_packing, reduce_by_dominance, tokenizer
-from skerry.llm.pii import KINDS, all_spans, base_spans, redacted, trained
+from skerry.llm.pii import KINDS, _windows, all_spans, base_spans, redacted, trained
 from skerry.llm.queries import oracle_sql, queries
 from skerry.llm.url_filter import Rule, build_cascade, is_listed, judge_urls
-from tests.conftest import SF
+from tests.conftest import ROOT, SF
 from tests.llm import brute
 from tests.test_queries import TABLES, table
 
@@ -103,13 +105,56 @@ def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(0)
     crf = Crf({"x": 1, "y": 2}, np.vstack([np.zeros(3), rng.normal(size=(2, 3))]), rng.normal(size=(3, 3)), rng.normal(size=3))
     sequences = [[["x"], ["y"], ["x", "y"], ["?"]], [["y"]], [["x"], ["x"], ["y"]]]
-    for s, got in zip(sequences, crf.viterbi(sequences, batch=2)):
+    for s, got in zip(sequences, crf.viterbi([(len(s), iter(s)) for s in sequences], most=4)):
         emit = [sum(crf.emit[crf.known.get(f, 0)] for f in fs) for fs in s]
         score = lambda p: crf.start[p[0]] + sum(emit[i][t] for i, t in enumerate(p)) + sum(crf.change[a, b] for a, b in zip(p, p[1:]))
         best = max(np.ndindex(*[3] * len(s)), key=score)
         assert tuple(got) == best
 
 
+def test_the_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    sequences = [[["x"], ["y"], ["x", "y"]], [["y"], ["x"]], [["y"]]]
+    tags = [[0, 1, 2], [1, 1], [2]]
+
+    def likelihood(emit, change, start, known):
+        total = 0
+        for s, own in zip(sequences, tags):
+            score = lambda p: start[p[0]] + sum(emit[known[f], t] for fs, t in zip(s, p) for f in fs) + sum(change[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
+            total += score(own) - np.log(sum(np.exp(score(p)) for p in np.ndindex(*[3] * len(s))))
+        return total / len(sequences)
+
+    crf = train(sequences, tags, 3, steps=1, rate=1e-4, l2=0)  # AdaGrad's first step has the sign of the gradient
+    zero = [np.zeros_like(p) for p in (crf.emit, crf.change, crf.start)]
+    for k, step in enumerate((crf.emit, crf.change, crf.start)):
+        for at in np.ndindex(*step.shape):
+            if k == 0 and at[0] == 0:
+                continue
+            ahead, behind = [z.copy() for z in zero], [z.copy() for z in zero]
+            ahead[k][at], behind[k][at] = 1e-4, -1e-4
+            slope = (likelihood(*ahead, crf.known) - likelihood(*behind, crf.known)) / 2e-4
+            assert step[at] == pytest.approx(1e-4 * slope / np.sqrt(1e-6 + slope**2), abs=1e-7)
+
+
+def test_long_texts_of_numbers_take_little_memory():
+    code = """
+import resource, numpy as np
+from skerry.llm.pii import all_spans, trained
+texts = ["call (017) 555-7713 tonight"] * 300 + [" ".join(str(i % 9973) for i in range(20_000))]
+crf = trained()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert all(len(s) == 1 for _, s in all_spans(texts, crf)[:300])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT, timeout=300).stdout
+    assert float(grown) < 300
+
+
+def test_tokens_before_a_trigger_are_never_cut():
+    long = "a" * 5000
+    assert list(_windows(f"x {long} @ y"))[0][:2] == [(0, 1), (2, 5002)]
+
+
 @pytest.mark.parametrize("name,label,least", [("op4_quality_classifier", "quality", 0.95), ("op7_toxicity", "toxic", 0.75)])
 def test_classifiers_on_held_out_rows(spark, name, label, least):
     rows = queries()[name](spark, "/root/testdata/sf0.01").toPandas()
