@@ -1,10 +1,12 @@
 """Operator 9, chat formatting, in DataFrame expressions only.
 
 A declarative :class:`ChatTemplate` names the roles, the allowed role changes
-and the strings around a turn.  A finite-state machine folded over the roles
-of each conversation validates turn order; every turn becomes three text
-segments (opening, text, closing), each with its loss flag.  The training text
-of a conversation is its segments joined, nothing else.
+and the strings around a turn.  A finite-state machine reads the roles of each
+conversation; its states are the roles (and ``start``), so the state after a
+turn is known from that turn, an arc from the two, and a conversation of any
+length is walked in linear time.  The states validate turn order, and they say
+which of a turn's three text segments (opening, text, closing) bear loss.  The
+training text of a conversation is its segments joined, nothing else.
 
 Escaping.  Inside texts ``\\`` becomes ``\\\\`` and ``<`` becomes ``\\l``; in
 role names ``>`` becomes ``\\g`` as well.
@@ -71,41 +73,36 @@ def format_conversations(turns: DataFrame, template: ChatTemplate | None = None)
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
     head, tail = t.opening.split("{role}")
 
-    def segments(row: Column) -> Column:
+    arcs = F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, tos in t.arcs.items() for b in tos])
+
+    def step(row: Column, i: Column) -> Column:
+        """The state after a turn, and whether the machine has the arc that leads there."""
+        before = F.when(i == 0, F.lit(t.start)).otherwise(F.get("rows", i - 1)["role"])
+        return F.struct(row["role"].alias("state"), F.array_contains(arcs, F.struct(before.alias("from"), row["role"].alias("to"))).alias("ok"), row["text"].alias("text"))
+
+    def segments(turn: Column) -> Column:
         return F.array(
-            F.struct(F.concat(F.lit(head), F.replace(escape(row["role"]), F.lit(">"), F.lit("\\g")), F.lit(tail)).alias("text"), F.lit(False).alias("loss")),
-            F.struct(escape(row["text"]).alias("text"), row["role"].isin(*t.loss_roles).alias("loss")),
+            F.struct(F.concat(F.lit(head), F.replace(escape(turn["state"]), F.lit(">"), F.lit("\\g")), F.lit(tail)).alias("text"), F.lit(False).alias("loss")),
+            F.struct(escape(turn["text"]).alias("text"), turn["state"].isin(*t.loss_roles).alias("loss")),
             F.struct(F.lit(t.closing).alias("text"), F.lit(False).alias("loss")),
         )
 
-    arcs = F.create_map(*[F.lit(x) for a, tos in t.arcs.items() for b in tos for x in (f"{a}\x00{b}", b)])
-    machine = F.aggregate(
-        "rows",
-        F.struct(F.lit(t.start).alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad")),
-        lambda acc, row: F.struct(
-            F.coalesce(F.try_element_at(arcs, F.concat(acc["state"], F.lit("\x00"), row["role"])), row["role"]).alias("state"),
-            (acc["at"] + 1).alias("at"),
-            F.coalesce(acc["bad"], F.when(F.try_element_at(arcs, F.concat(acc["state"], F.lit("\x00"), row["role"])).isNull(), acc["at"])).alias("bad"),
-        ),
-    )
-    return (
-        grouped.withColumn("machine", machine)
-        .withColumn("segments", F.flatten(F.transform("rows", segments)))
-        .select(
-            "conv_id",
-            F.size("rows").cast("long").alias("n_turns"),
-            (F.col("machine.bad").isNull() & F.col("machine.state").isin(*t.final)).alias("valid"),
-            F.col("machine.bad").alias("bad_turn"),
-            "segments",
-            F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-        )
+    walked = grouped.select("conv_id", F.transform("rows", step).alias("turns"))
+    bad = F.array_position(F.transform("turns", lambda x: x["ok"]), False).cast("int")
+    return walked.select("conv_id", "turns", F.flatten(F.transform("turns", segments)).alias("segments")).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        ((bad == 0) & F.element_at("turns", -1)["state"].isin(*t.final)).alias("valid"),
+        F.when(bad > 0, bad - 1).alias("bad_turn"),
+        "segments",
+        F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
     )
 
 
 def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> DataFrame:
-    """Recover the turns from the joined text, and the loss text from the segments' flags.
+    """Recover the turns and the text under the loss mask from the joined text; the segments give the mask only.
 
-    Returns conv_id, turns array<struct<role,text>>, loss_text, formatted_chars.
+    Returns conv_id, valid, turns array<struct<role,text>>, loss_text, formatted_chars.
     """
     t = template or ChatTemplate()
     head, tail = t.opening.split("{role}")
@@ -119,9 +116,6 @@ def read_back(formatted: DataFrame, template: ChatTemplate | None = None) -> Dat
         )
 
     pieces = F.split(F.col("formatted"), "\\Q" + t.closing + "\\E", -1)
-    return formatted.select(
-        "conv_id",
-        F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn).alias("turns"),
-        unescape(F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"]), "")).alias("loss_text"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    read = formatted.select("conv_id", "valid", "segments", F.length("formatted").cast("long").alias("formatted_chars"), F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn).alias("turns"))
+    lost = F.transform("turns", lambda x, i: F.when(F.get("segments", 3 * i + 1)["loss"], x["text"]).otherwise(""))
+    return read.select("conv_id", "valid", "turns", F.array_join(lost, "").alias("loss_text"), "formatted_chars")

@@ -72,10 +72,11 @@ WITH t AS (
 c AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-         sum(17 + length(role) + escaped) AS formatted_chars
+         sum(17 + length(role) + escaped) AS formatted_chars,
+         regexp_full_match(string_agg(role, '>' ORDER BY turn, role, text), '(system>)?user>assistant(>user>assistant)*') AS valid
   FROM e GROUP BY conv_id
 )
-SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM c
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, valid FROM c
 """
 
 OP10 = r"""
