@@ -17,9 +17,14 @@ SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one is made only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one is made on a local master only.
+
+    On a cluster a folder of the driver's own is of no use to the executors, so an unset folder raises there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="skerry-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
