@@ -1,5 +1,6 @@
 """Decontamination, personal data, classifiers, packing, chat and urls against brute force, round trips and held-out rows."""
 
+import math
 import random
 import re
 import subprocess
@@ -14,10 +15,13 @@ import pytest
 
 from skerry.llm.chat_format import ChatTemplate
 from skerry.llm.crf import Crf, train
+from skerry.llm.labelled import any_rows
 from skerry.llm.decontaminate import SuffixAutomaton, decontaminate, find_contamination, normal_words
 from skerry.llm.packing import pack, plan_packing, reduce_by_dominance, tokenizer
 from skerry.llm.pii import KINDS, _windows, all_spans, base_spans, redacted, trained
 from skerry.llm.queries import oracle_sql, queries
+from skerry.llm.quality import ftrl
+from skerry.llm.toxicity import nnpu
 from skerry.llm.url_filter import Rule, build_cascade, is_listed, judge_urls
 from tests.conftest import ROOT, SF
 from tests.llm import brute
@@ -168,6 +172,85 @@ def test_classifiers_on_held_out_rows(spark, name, label, least):
     assert (again.sort_values("doc_id")["score"].to_numpy() == rows.sort_values("doc_id")["score"].to_numpy()).all()
 
 
+def some_rows(n, seed):
+    """CSR of n small texts over 40 features, and labels that hang on feature 3."""
+    rng = np.random.default_rng(seed)
+    own = [np.sort(rng.choice(40, rng.integers(0, 12), replace=False)) for _ in range(n)]
+    ptr = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    return ptr, np.concatenate(own), rng.integers(1, 5, ptr[-1]), np.array([int(3 in x or rng.random() < 0.2) for x in own])
+
+
+def test_ftrl_against_plain_python():
+    ptr, ids, counts, y = some_rows(50, 1)
+    got = ftrl(ptr, ids, counts, y, bits=6, updates=150, alpha=0.5, beta=1.0, l1=0.1, l2=0.01)
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.1 else -(z[i] - math.copysign(0.1, z[i])) / ((1 + math.sqrt(n[i])) / 0.5 + 0.01)
+
+    rng = np.random.default_rng(7)
+    for _ in range(3):
+        for d in rng.permutation(50):
+            own = range(ptr[d], ptr[d + 1])
+            total = sum(int(counts[k]) for k in own)
+            values = {int(ids[k]): math.sqrt(int(counts[k]) / total) for k in own} | {64: 1.0}
+            error = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in values.items()))) - int(y[d])
+            for i, v in values.items():
+                g, w = error * v, weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.5 * w
+                n[i] += g * g
+    assert got.weights == pytest.approx([weight(i) for i in range(64)], abs=1e-9) and got.intercept == pytest.approx(weight(64), abs=1e-9)
+    assert 0 < (got.weights != 0).sum() < 40
+
+
+@pytest.mark.parametrize("prior,l1", [(0.3, 0.001), (0.9, 0.0)])
+def test_nnpu_against_plain_python(prior, l1):
+    ptr, ids, _, y = some_rows(50, 2)
+    steps, rate = 60, 0.05
+    got = nnpu(ptr, ids, y, bits=6, prior=prior, steps=steps, rate=rate, l1=l1, min_texts=1, shift=0.5)
+    texts = [(int(y[d]), [int(i) for i in ids[ptr[d] : ptr[d + 1]]]) for d in range(50)]
+    used = sorted({i for label, own in texts if label == 1 for i in own})
+    w, mean, var = dict.fromkeys([*used, "b"], 0.0) | {"b": -2.0}, dict.fromkeys([*used, "b"], 0.0), dict.fromkeys([*used, "b"], 0.0)
+    s = lambda x: 1 / (1 + math.exp(-x))
+    positive, unlabelled = [own for label, own in texts if label == 1], [own for label, own in texts if label != 1]
+    score = lambda own: sum(w[i] for i in own if i in w) + w["b"]
+    turned = 0
+    for k in range(1, steps + 1):
+        loss = lambda g: s(-g)
+        rest = sum(loss(-score(u)) for u in unlabelled) / len(unlabelled) - prior * sum(loss(-score(p)) for p in positive) / len(positive)
+        turned += rest < 0
+        grad = dict.fromkeys(w, 0.0)
+        for own, group, weight in [(o, "p", prior / len(positive)) for o in positive] + [(o, "u", 1 / len(unlabelled)) for o in unlabelled]:
+            g = score(own)
+            up = s(g) * s(-g)  # of l(-g); that of l(g) is its negative
+            if group == "p":
+                d = weight * (-up - up) if rest >= 0 else weight * up
+            else:
+                d = weight * up if rest >= 0 else -weight * up
+            for i in [*(i for i in own if i in w), "b"]:
+                grad[i] += d
+        for i in w:
+            mean[i] = 0.9 * mean[i] + 0.1 * grad[i]
+            var[i] = 0.999 * var[i] + 0.001 * grad[i] ** 2
+            w[i] -= rate * (mean[i] / (1 - 0.9**k)) / (math.sqrt(var[i] / (1 - 0.999**k)) + 1e-6)
+            if i != "b":
+                w[i] = math.copysign(max(0.0, abs(w[i]) - rate * l1), w[i])
+    called = min(len(unlabelled) - 1, max(1, round(prior * len(unlabelled))))
+    ranked = sorted(map(score, unlabelled), reverse=True)
+    intercept = w["b"] - min(0.0, (ranked[called - 1] + ranked[called]) / 2) / 2
+    held = [i for i in used if w[i]]
+    assert got.ids.tolist() == held and got.weights == pytest.approx([w[i] for i in held], abs=1e-9) and got.intercept == pytest.approx(intercept, abs=1e-9)
+    assert prior < 0.5 or turned  # a high prior reaches the correction
+
+
+def test_training_takes_one_text_an_id_and_unlabelled_ones_outside_the_fold(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(120)] + [(None, "x")], "doc_id long, text string")
+    got = [r["text"] for r in any_rows(docs, 1000).collect()]
+    want = {i for i in range(40) if zlib.crc32(str(i).encode()) % 5}
+    assert len(got) == len(want) and {int(t.split()[1]) % 40 for t in got} == want
+    assert 0 < len(any_rows(docs, 7).collect()) <= 7
+
+
 def test_ids_are_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
