@@ -7,8 +7,8 @@ words or more marks the last ``window`` words; an item shorter than that is a
 window of its own.  The state tells which items hold the matched window.
 
 Scale.  The texts are never shuffled: one pass of ``mapInArrow``.  The
-automaton is broadcast, and its size is bounded: items beyond
-``max_words`` words are dealt to further automata, each of which gets its own
+automaton is broadcast, and its size is bounded: a word takes about a kilobyte
+in the driver and in every worker, and items beyond ``max_words`` words are dealt to further automata, each of which gets its own
 pass that adds to the spans found before, so a benchmark of any size is
 matched exactly.
 
@@ -156,7 +156,7 @@ class SuffixAutomaton:
 _SPANS = "spans array<struct<from:long,to:long>>, items array<string>"
 
 
-def scan_texts(rows: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = 1_000_000, clean: bool = False) -> DataFrame:
+def scan_texts(rows: DataFrame, benchmark: DataFrame, *, window: int = 10, max_words: int = 200_000, clean: bool = False) -> DataFrame:
     """For ``rows`` of (row, text), or of (row) with the text in it: row, n_words, n_hit, spans of words, items (sorted ids), and with ``clean`` clean_text.
 
     ``row`` is any struct that travels along, so callers keep their columns

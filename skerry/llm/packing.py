@@ -382,4 +382,4 @@ def _placed_by_join(ranked: DataFrame, runs: list[Run]) -> DataFrame:
     joined = ranked.join(plan, "length").where((x >= 0) & (x < F.col("count")))
     return joined.withColumns(
         {"sequence_id": F.col("bin") + F.floor(x / F.col("per_bin")), "offset": F.col("at") + F.pmod(x, F.col("per_bin")) * F.col("length")}
-    ).drop("rank", "from", "count", "per_bin", "bin", "at")
+    ).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *[c for c in ranked.columns if c == "tokens"])

@@ -12,7 +12,7 @@ keys; level 1 of the universe's other keys that pass level 0; level 2 of the
 listed keys that pass level 1; and so on until a level has no false positive.
 A key is listed when the first level that does not hold it is odd.  Over the
 universe this is exact, so judging a page needs no join: the levels are
-literals in the expression.
+one literal each in the expression.
 
 Size.  Level 0 gets ``log2(universe / listed)`` times 1.44 bits a listed key,
 so about as many other keys pass as there are listed ones, and every later
@@ -85,7 +85,7 @@ def _positions(key: Column, level: Level) -> list[Column]:
 
 
 def _holds(key: Column, level: Level) -> Column:
-    words = F.array(*[F.lit(w) for w in level.words])
+    words = F.split(F.lit(" ".join(map(str, level.words))), " ").cast("array<long>")  # one literal after constant folding
     found = None
     for p in _positions(key, level):
         word = F.element_at(words, (F.shiftright(p, 6) + 1).cast("int"))
@@ -167,13 +167,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", default
 
     def fitting(levels: list[Level], verdict: str) -> Column:
         return F.transform(
-            F.filter("__keys", lambda k: is_listed(k["key"], levels)),
+            F.filter("judged.keys", lambda k: is_listed(k["key"], levels)),
             lambda k: F.struct(k["size"].alias("size"), k["host_size"].alias("host_size"), k["key"].alias("key"), F.lit(verdict).alias("verdict")),
         )
 
     best = F.array_max(F.concat(*[fitting(levels, verdict) for verdict, levels in fits]))
-    return (
-        base.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths))
-        .withColumn("__best", best)
-        .select(*keep, "host", "path", F.col("__best.key").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    inner = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("page"), F.struct(candidate_keys(F.col("host"), F.col("path"), lengths).alias("keys")).alias("judged"))
+    return inner.withColumn("best", best).select(
+        *[F.col("page")[c].alias(c) for c in base.columns], F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -24,7 +24,7 @@ def awkward(spark):
     long = " ".join(f"word{i % 977}" for i in range(60_000))
     texts = [(1, None), (2, ""), (3, " \n\t"), (4, long), (5, long), (6, "x" * 200_000), (7, "same words here " * 20), (7, "same words here " * 20), (None, "no id here at all"), (None, None), (8, "é ü 😀 mixed \x00 text"), (9, "a " * 3000)]
     rows = [(i, t, None, "src0", None if t is None else len(t)) for i, t in texts]
-    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("row", "spans", "score", "rank", "items", "prefix", "places", "text_hash")})
+    return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("clash") for c in ("row", "spans", "score", "rank", "items", "prefix", "places", "text_hash", "__nth", "__gone", "gone", "n")})
 
 
 @pytest.fixture(scope="module")
@@ -113,7 +113,7 @@ def test_conversations(spark):
 
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://"), (4, "HTTP://WWW.Example.ORG/es/x?y"), (4, "http://example.org"), (5, "x://a.b/c://d"), (6, "http://org/")]
-    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("k") for c in ("host", "path", "keys", "best", "key", "verdict")})
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit("k") for c in ("host", "path", "keys", "best", "key", "verdict", "__keys", "__best", "page", "judged")})
     rules = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block")]
     got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df, rules).orderBy("page_id", "host").collect()]
     assert (1, "", "", None, "allow") in got and (2, "", "", None, "allow") in got and (3, "", "", None, "allow") in got
