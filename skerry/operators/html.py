@@ -15,6 +15,9 @@ from urllib.parse import urljoin, urlsplit
 from .markdown import parse_markdown
 
 #: Elements that never hold content, and page furniture where no content root is marked.
+#: Links and characters from which an element can be a link list; its links hold more than half of it.
+LINKS, CHARACTERS = 3, 20
+#: Elements that are never content.
 NOISE = "script style noscript iframe svg nav aside form dialog button".split()
 CHROME_TAGS, CHROME_ROLES = ("header", "footer"), ("navigation", "banner", "contentinfo", "search")
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -95,7 +98,7 @@ def _content_list(e: Element) -> bool:
 
 def _mostly_links(e: Element) -> bool:
     links, total = _links(e), len(_visible(e))
-    return len(links) >= 3 and total >= 20 and sum(len(_visible(x)) for x in links) > total / 2
+    return len(links) >= LINKS and total >= CHARACTERS and sum(len(_visible(x)) for x in links) > total / 2
 
 
 def content_root(document: Element) -> tuple[Element, bool]:

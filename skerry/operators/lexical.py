@@ -56,7 +56,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, *, text: s
         asked = stemmed(asked)
     wanted = queries.select("query_id", "namespace", F.explode(F.array_distinct(asked)).alias("term"))
     vocabulary = wanted.select("namespace", "term").distinct()
-    few = vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS  # bounds the vocabulary too
     hint = F.broadcast if few else (lambda df: df)
     table = term_table(chunks, text=text, stem=stem)
     # explode_outer: a plain explode would have Spark test the size of the words first, and so split every text twice

@@ -15,7 +15,9 @@ from collections.abc import Callable, Iterable, Iterator
 Counter = Callable[[str], int]
 
 _END = re.compile(r"(?:[.!?]+[\"'”’)\]]*\s+|[。！？]+\s*|[।॥]\s*|(?<=\?)(?=\S)|\r?\n| | )")
+#: What may not be cut, and by how much a piece that is too long shrinks.
 _IN_URL = re.compile(r"(?:https?://|www\.)\S*$")
+_SHRINK = 0.9
 
 
 def sentences(text: str) -> Iterator[str]:
@@ -51,7 +53,7 @@ def _by_characters(text: str, budget: int, count: Counter) -> list[str]:
     while at < len(text):
         size = min(len(text) - at, max(1, int(per_token * budget)))
         while size > 1 and count(text[at : at + size]) > budget:
-            size = int(size * 0.9)
+            size = int(size * _SHRINK)
         out.append(text[at : at + size])
         at += size
     return out

@@ -72,26 +72,30 @@ class ParquetStore:
         numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
         if not numbers:
             return _Manifest()
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{max(numbers):012d}.json"))
-        try:
-            found = json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-        if found["schema_version"] > SCHEMA_VERSION:
-            raise ValueError(f"the index has schema version {found['schema_version']}, this library reads up to {SCHEMA_VERSION}")
-        return _Manifest(max(numbers), found["schema_version"], found["namespaces"])
+        for number in sorted(numbers, reverse=True):
+            stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{number:012d}.json"))
+            try:
+                text = bytes(stream.readAllBytes()).decode()
+            finally:
+                stream.close()
+            if not text.endswith("\n"):  # still being written: the version before holds
+                continue
+            found = json.loads(text)
+            if found["schema_version"] > SCHEMA_VERSION:
+                raise ValueError(f"the index has schema version {found['schema_version']}, this library reads up to {SCHEMA_VERSION}")
+            return _Manifest(number, found["schema_version"], found["namespaces"])
+        return _Manifest()
 
     def _publish(self, manifest: _Manifest) -> None:
         jvm, fs = self._fs()
-        text = json.dumps({"schema_version": manifest.schema_version, "namespaces": manifest.namespaces})
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/.{uuid.uuid4().hex}")
+        text = json.dumps({"schema_version": manifest.schema_version, "namespaces": manifest.namespaces}) + "\n"
         final = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{manifest.number:012d}.json")
-        out = fs.create(draft, False)
+        try:
+            out = fs.create(final, False)  # exclusive: the file must not exist
+        except Exception as e:
+            raise RuntimeError("another write was published meanwhile; plan the update again") from e
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            fs.delete(draft, False)
-            raise RuntimeError("another write was published meanwhile; plan the update again")
 
     # -- reads ------------------------------------------------------------
 
@@ -202,4 +206,7 @@ class MemoryStore(ParquetStore):
 
     def __init__(self, spark: SparkSession, **options):
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        master = spark.sparkContext.master
+        if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         super().__init__(spark, f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}" if folder else tempfile.mkdtemp(prefix="skerry-store-"), **options)

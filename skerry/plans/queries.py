@@ -21,8 +21,9 @@ from ..operators.rerank import rerank
 from ..operators.store import MemoryStore
 from ..operators.sync import classify, plan_update, summarize
 from ..operators.vector import vector_search
-from ..sources.corpus import clean_markdown
+from ..sources.corpus import CLEANING, clean_markdown
 from ..sources.files import refusal
+from . import fixtures
 from .index import index_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,11 +43,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | fixtures.oracle_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,9 +162,17 @@ def evidence_normalizer(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.normalize_evidence(F.col("text")), 256).alias("normalized"))
 
 
-@query()
+def _cleaned_sql(text: str) -> str:
+    """The corpus cleaning, pattern by pattern, as SQL."""
+    for pattern, new in CLEANING:
+        text = f"regexp_replace({text}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, sha256({_cleaned_sql('html')}) AS cleaned FROM pages UNION ALL SELECT -doc_id, sha256({_cleaned_sql('text')}) FROM documents")
 def cleaned_corpus(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", F.length(clean_markdown(F.col("html"))).alias("chars"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.sha2(clean_markdown(F.col("html")), 256).alias("cleaned"))
+    return pages.union(_table(spark, sf_dir, "documents").select(-F.col("doc_id"), F.sha2(clean_markdown(F.col("text")), 256)))
 
 
 @query("SELECT source AS namespace, count(*) AS documents, count(DISTINCT text) AS distinct_texts FROM documents GROUP BY source")
@@ -253,7 +262,7 @@ FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 50 = 0
 def unit_distance_cosine(spark, sf_dir):
     rows, asked = _vectors(spark, sf_dir)
     apart = F.sqrt(F.aggregate(F.zip_with("vector", "embedding", lambda a, b: F.pow(a.cast("double") - b.cast("double"), F.lit(2))), F.lit(0.0), lambda s, x: s + x))
-    return rows.join(F.broadcast(asked), "namespace").select("query_id", "id", F.round(fn.cosine_of_unit_distance(apart), 5).alias("score"))
+    return rows.join(asked, "namespace").select("query_id", "id", F.round(fn.cosine_of_unit_distance(apart), 5).alias("score"))
 
 
 # -- fusion, reranking -----------------------------------------------------
@@ -290,7 +299,12 @@ def rrf_weight_sweep(spark, sf_dir):
     return weight_sweep(*_lists(spark, sf_dir), [1.0, 0.5, 0.3, 0.2, 0.1], top_k=TOP_K).withColumn("score", F.round("score", 9))
 
 
-@query()
+_WORDS = r"list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))"
+
+
+@query(f"""WITH {_TOKENS}, q AS (SELECT item_id AS query_id, {_WORDS} AS qs FROM benchmark), d AS (SELECT doc_id AS id, {_WORDS} AS ds FROM documents),
+s AS (SELECT query_id, id, round(len(list_intersect(qs, ds)) / greatest(1, len(qs))::DOUBLE, 9) AS score FROM lex JOIN q USING (query_id) JOIN d USING (id))
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s""")
 def reranked_topk(spark, sf_dir):
     hits = lexical_search(_chunks(spark, sf_dir), _questions(spark, sf_dir), TOP_K)
     return rerank(hits, _questions(spark, sf_dir), _chunks(spark, sf_dir).select("id", F.col("search_text").alias("text")))

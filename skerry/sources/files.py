@@ -91,11 +91,12 @@ def load_files(
         return spark.createDataFrame([], DOCUMENT), refused
     names = spark.createDataFrame([(u, p) for u, p in sorted(found.items())], "uri string, path string")
     raw = spark.read.format("binaryFile").load([literal_path(p) for p in found.values()])
-    text = F.decode("content", "UTF-8")
+    # bytes that are not UTF-8 become U+FFFD; the size is tested before any content is read
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     rows = raw.withColumn("path", F.call_function("url_decode", F.replace(F.regexp_replace("path", r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))).join(F.broadcast(names), "path")
-    rows = rows.select("uri", "length", "modificationTime", "content", text.alias("text"))
-    reason = refusal(F.col("length"), F.col("text"), max_bytes)
-    rows = rows.withColumn("reason", reason)
+    large = rows.where(F.col("length") > max_bytes).select("uri", refusal(F.col("length"), F.lit(""), max_bytes).alias("reason"))
+    rows = rows.where(F.col("length") <= max_bytes).select("uri", "length", "modificationTime", "content", text.alias("text"))
+    rows = rows.withColumn("reason", refusal(F.col("length"), F.col("text"), max_bytes))
     documents = rows.where("reason is null").select(
         document_id(F.lit(namespace), F.col("uri")).alias("id"),
         F.lit(namespace).alias("namespace"),
@@ -106,7 +107,7 @@ def load_files(
         F.create_map(F.lit("bytes"), F.col("length").cast("string"), F.lit("modifiedAt"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("metadata"),
         F.lit(None).cast("timestamp").alias("indexed_at"),
     )
-    failures = refused.unionByName(rows.where("reason is not null").select("uri", "reason"))
+    failures = refused.unionByName(large).unionByName(rows.where("reason is not null").select("uri", "reason"))
     return documents.orderBy("uri"), failures.orderBy("uri")
 
 

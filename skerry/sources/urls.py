@@ -113,7 +113,7 @@ def load_urls(spark: SparkSession, inputs: str | Sequence[str], options: UrlOpti
     asked = spark.createDataFrame(list(enumerate(urls)), "ordinal long, url string").repartition(max(1, min(o.concurrency, len(urls))), "ordinal")
     header = lambda name: F.get_json_object("headers", f"$['{name}']")
     got = asked.mapInArrow(_fetcher(o, fetch), _FETCHED).persist()
-    text = F.decode("body", "UTF-8")
+    text = F.make_valid_utf8(F.col("body").cast("string"))
     kind = header("content-type")
     length = header("content-length").try_cast("long")
     reason = (

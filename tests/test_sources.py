@@ -9,33 +9,33 @@ from skerry.sources.urls import _attempts
 
 def tree(root):
     for name, body in {
-        "index.md": "# Home", "guides/billing-refunds.md": "text", "guides/deep/nested/setup.html": "<p>x", "guides/notes.txt": "n", "logo.png": "p", ".env": "s", ".cache/page.md": "c", "node_modules/pkg/readme.md": "m",
-        "guides/big.md": "b" * 300, "guides/odd [1].md": "odd", "bin.txt": "a\x00b", "LICENSE.md": "l",
+        "start.md": "# Harbour", "shore/tide-tables.md": "text", "shore/far/out/chart.html": "<p>x", "shore/log.txt": "n", "map.pdf": "p", ".keys": "s", ".store/old.md": "c", "node_modules/lib/about.md": "m",
+        "shore/long.md": "b" * 300, "shore/odd [1].md": "odd", "raw.txt": "a\x00b", "LICENSE.md": "l",
     }.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(body)
-    os.symlink(root / "index.md", root / "link.md")
+    os.symlink(root / "start.md", root / "alias.md")
 
 
 def test_folder_scan(spark, tmp_path):
     tree(tmp_path)
     docs, failed = load_files(spark, str(tmp_path), namespace="acme", max_bytes=200)
     rows = docs.collect()
-    assert [r["uri"] for r in rows] == ["LICENSE.md", "guides/billing-refunds.md", "guides/deep/nested/setup.html", "guides/notes.txt", "guides/odd [1].md", "index.md"]
-    assert {r["uri"]: r["title"] for r in rows}["guides/billing-refunds.md"] == "billing refunds"
+    assert [r["uri"] for r in rows] == ["LICENSE.md", "shore/far/out/chart.html", "shore/log.txt", "shore/odd [1].md", "shore/tide-tables.md", "start.md"]
+    assert {r["uri"]: r["title"] for r in rows}["shore/tide-tables.md"] == "tide tables"
     reasons = {r["uri"]: r["reason"] for r in failed.collect()}
-    assert reasons["link.md"] == "symbolic link skipped" and reasons["guides/big.md"] == "file is 300 bytes, over the 200 byte limit" and reasons["bin.txt"] == "looks like a binary file"
+    assert reasons["alias.md"] == "symbolic link skipped" and reasons["shore/long.md"] == "file is 300 bytes, over the 200 byte limit" and reasons["raw.txt"] == "looks like a binary file"
     assert len(rows[0]["id"]) == 16 and len(rows[0]["content_hash"]) == 64
 
 
 def test_named_files_roots_and_missing(spark, tmp_path):
     tree(tmp_path)
-    docs, failed = load_files(spark, [str(tmp_path / "logo.png"), str(tmp_path / "nothing.md")])
-    assert [r["uri"] for r in docs.collect()] == ["logo.png"] and [r["uri"] for r in failed.collect()] == ["nothing.md"]
-    assert common_root([str(tmp_path / "guides/notes.txt"), str(tmp_path / "index.md")]) == str(tmp_path)
-    one = [r["id"] for r in load_files(spark, [str(tmp_path / "guides"), str(tmp_path / "index.md")])[0].collect()]
-    two = [r["id"] for r in load_files(spark, [str(tmp_path / "index.md"), str(tmp_path / "guides")])[0].collect()]
+    docs, failed = load_files(spark, [str(tmp_path / "map.pdf"), str(tmp_path / "nothing.md")])
+    assert [r["uri"] for r in docs.collect()] == ["map.pdf"] and [r["uri"] for r in failed.collect()] == ["nothing.md"]
+    assert common_root([str(tmp_path / "shore/log.txt"), str(tmp_path / "start.md")]) == str(tmp_path)
+    one = [r["id"] for r in load_files(spark, [str(tmp_path / "shore"), str(tmp_path / "start.md")])[0].collect()]
+    two = [r["id"] for r in load_files(spark, [str(tmp_path / "start.md"), str(tmp_path / "shore")])[0].collect()]
     assert one == two
 
 
@@ -77,7 +77,7 @@ def test_cancelled_reads_are_rows():
 
 def test_corpus(spark, tmp_path):
     tree(tmp_path)
-    (tmp_path / "index.md").write_text('---\ntitle: "Start"\n---\nimport X from "x"\n\n<div class="a">\nText <img src=x/>\n</div>\n\n\n:::note Mind this\nEnd\n:::')
+    (tmp_path / "start.md").write_text('---\ntitle: "Start"\n---\nimport X from "x"\n\n<div class="a">\nText <img src=x/>\n</div>\n\n\n:::note Mind this\nEnd\n:::')
     rows = {r["id"]: r for r in load_corpus(spark, str(tmp_path)).collect()}
-    assert "LICENSE.md" not in rows and rows["index.md"]["title"] == "Start" and rows["guides/big.md"]["title"] == "guides/big.md"
-    assert rows["index.md"]["text"].split() == ["Text", "Mind", "this", "End"]
+    assert "LICENSE.md" not in rows and rows["start.md"]["title"] == "Start" and rows["shore/long.md"]["title"] == "shore/long.md"
+    assert rows["start.md"]["text"].split() == ["Text", "Mind", "this", "End"]
