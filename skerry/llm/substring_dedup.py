@@ -14,8 +14,10 @@ Steps, and what each moves:
 2. A Bloom filter of the repeated minimisers (``bloom_bits`` at most, built by
    a grouped bit_or) goes to all tasks.  False hits only cost traffic.
 3. Super-k-mers of repeated minimisers are packed and shuffled.  A minimiser
-   that holds more than 1/``hot_share`` of all super-k-mers is *hot*: a passage
-   or text with very many copies.  Its windows do not travel as strings to one
+   of ``hot_least`` super-k-mers or more is *hot*, whatever the corpus: a passage
+   or text with very many copies.  A bucket of strings so has a fixed bound.
+   The hot ones are told by a second Bloom filter; what it holds falsely is
+   counted right as well.  Its windows do not travel as strings to one
    bucket.  Each task first counts them itself; those it holds twice are
    settled there, and every different one goes once, as a 128-bit fingerprint,
    to a bucket chosen by that fingerprint.  So a bucket gets a window at most
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_slices, plain_text, written
-from .textvec import Words, mix, words_of
+from .textvec import OTHER_BYTES, Words, hash_spans, mix, words_of
 
 _U = np.uint64
 SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
@@ -199,7 +201,7 @@ def _send(window: int, seed: int, bits: np.ndarray, hot: np.ndarray, buckets: in
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
             for lo, hi, _, _ in byte_slices(b.column(2)):
                 s = SuperKmers(b.column(2), lo, hi, window, seed)
-                is_hot = np.isin(s.minimiser, hot)
+                is_hot = _in_bloom(hot, s.minimiser)
                 base = s.words.first
                 out = []
                 for i in np.flatnonzero(~is_hot & _in_bloom(bits, s.minimiser)):
@@ -212,7 +214,7 @@ def _send(window: int, seed: int, bits: np.ndarray, hot: np.ndarray, buckets: in
                     ends = np.cumsum(lengths)
                     at = np.arange(ends[-1]) + np.repeat(s.first[is_hot] - (ends - lengths), lengths)
                     d = s.words.doc[at]
-                    gathered.append((_fingerprints(s.words, at, window), ids[lo + d], hashes[lo + d], at - base[d]))
+                    gathered.append((_fingerprints(s, at, window), ids[lo + d], hashes[lo + d], at - base[d]))
                     waiting += len(at)
                     if waiting >= FLUSH:
                         yield from flush(gathered)
@@ -222,13 +224,13 @@ def _send(window: int, seed: int, bits: np.ndarray, hot: np.ndarray, buckets: in
     return run
 
 
-def _fingerprints(words: Words, at: np.ndarray, window: int) -> np.ndarray:
-    """128 bits for each window start in ``at``: two independent polynomial hashes of its words."""
+def _fingerprints(s: SuperKmers, at: np.ndarray, window: int) -> np.ndarray:
+    """128 bits for each window start in ``at``: two polynomials over two independent hashes of its words."""
     a, b = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    other = hash_spans(np.frombuffer(s.data, np.uint8), s.words.start, s.words.end, OTHER_BYTES)
     for j in range(window):
-        w = words.hash[at + j]
-        a = a * _U(0xD6E8FEB86659FD93) + w
-        b = b * _U(0xC2B2AE3D27D4EB4F) + mix(w + _U(j + 1))
+        a = a * _U(0xD6E8FEB86659FD93) + s.words.hash[at + j]
+        b = b * _U(0xC2B2AE3D27D4EB4F) + other[at + j]
     return np.stack([mix(a), mix(b)], 1)
 
 
@@ -316,34 +318,38 @@ def _spans_batch(found: list[tuple[int, int, list[dict[str, int]]]]) -> pa.Recor
 _NULL_ID = -(1 << 63)
 
 
-def repeated_spans(docs: DataFrame, *, window: int = 35, seed: int = 8, bloom_bits: int = 1 << 25, hot_share: int = 4000, hot_least: int = 64) -> DataFrame:
-    """doc_id (a stand-in for null), text_hash, spans array<struct<from,to>> of words to remove; for texts with any."""
-    spark = docs.sparkSession
-    texts = _keyed(docs)
-    counts = written(texts.select("text").mapInArrow(_count(window, seed), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1"), "minimisers")
-    n_repeated, n_runs = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    hot_at = max(hot_least, n_runs // hot_share)
-    hot_rows = counts.where(F.col("n") >= hot_at).collect()  # at most hot_share rows, or n_runs / hot_least in small inputs
-    hot = np.array(sorted(r["minimiser"] for r in hot_rows), np.int64).view(np.uint64)
+def _bloom(minimisers: DataFrame, n: int, most: int) -> np.ndarray:
+    """A Bloom filter of the ``n`` keys as 64-bit words, of at most ``most`` bits; set by a grouped bit_or."""
     size = 64
-    while size < min(bloom_bits, 16 * n_repeated):
+    while size < min(most, 16 * n):
         size *= 2
     p = F.explode(F.array(F.col("minimiser").bitwiseAND(size - 1), F.shiftrightunsigned("minimiser", 32).bitwiseAND(size - 1)))
-    words = counts.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b")).toPandas()
+    words = minimisers.select(p.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("b")).toPandas()
     bits = np.zeros(size // 64, np.uint64)
     bits[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def repeated_spans(docs: DataFrame, *, window: int = 35, seed: int = 8, bloom_bits: int = 1 << 25, hot_least: int = 1024) -> DataFrame:
+    """doc_id (a stand-in for null), text_hash, spans array<struct<from,to>> of words to remove; for texts with any."""
+    spark = docs.sparkSession
+    texts = _keyed(docs)
+    counts = written(texts.select("text").mapInArrow(_count(window, seed), "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n")).where("n > 1"), "minimisers")
+    is_hot = F.col("n") >= hot_least
+    n_repeated, n_hot, hot_runs = counts.agg(F.count("*"), F.count_if(is_hot), F.coalesce(F.sum(F.when(is_hot, F.col("n"))), F.lit(0))).first()
+    bits, hot = _bloom(counts, n_repeated, bloom_bits), _bloom(counts.where(is_hot), n_hot, bloom_bits)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * parts, sum(r["n"] for r in hot_rows) * (window - seed + 1) // (1 << 18))
+    buckets = max(4 * parts, hot_runs * (window - seed + 1) // (1 << 18))
     sent = written(texts.mapInArrow(_send(window, seed, bits, hot, buckets), _SENT), "super-kmers")
     schema = f"doc_id long, text_hash long, spans {_SPANS_SQL}"
     packed = sent.where(F.col("kind") == PACKED).select("key", "doc_id", "text_hash", "first", "packed")
     found = packed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_settle_packed(window), schema)
     settled = sent.where(F.col("kind") == SETTLED).select("doc_id", "text_hash", "spans")
     found = found.unionByName(settled)
-    if len(hot):
+    if n_hot:
         prints = sent.where(F.col("kind") == HOT).select("key", "fp", "refs")
         found = found.unionByName(prints.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_settle_hot(window), schema))
-    return found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return found.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set("spans")).alias("spans"))  # a set: rows that repeat an id and text bring the same spans
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: Other values of the bytes, for a second hash that is independent of the first.
+OTHER_BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _POWERS: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
 
 #: Byte classes of words that end at ASCII white space only.
@@ -82,11 +84,11 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, *, is_word: np.ndarray = SPAC
     return Words(start, end, hash_spans(raw, start, end), doc, first)
 
 
-def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans raw[start[i]:end[i]], by prefix sums of a polynomial."""
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of the byte spans raw[start[i]:end[i]], by prefix sums of a polynomial; ``values`` has a number for each byte."""
     p, q = _powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * p, out=sums[1:])
+    np.cumsum(values[raw] * p, out=sums[1:])
     return mix((sums[end] - sums[start]) * q[start] + (end - start).astype(np.uint64))
 
 

@@ -36,6 +36,42 @@ def test_jaccard(spark, words, percent, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard(rows, words, percent)
 
 
+def test_texts_that_only_share_a_passage_are_dropped_before_they_are_sent(spark, monkeypatch):
+    """5,000 short texts around one passage, none of which link: what is sent to blocks follows the texts, not their pairs."""
+    from skerry.llm import ngram_join
+
+    sent = {}
+
+    def noted(df, name):
+        out = written(df, name)
+        if name in ("members", "probed", "links"):
+            sent[name] = out.count()
+        return out
+
+    written = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", noted)
+    passage = " ".join(f"p{i}" for i in range(52))
+    rows = [(i, f"{passage} " + " ".join(f"w{i}x{j}" for j in range(9))) for i in range(5000)]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80)
+    assert got.where("doc_id <> component_id").count() == 0 and got.count() == 5000
+    assert sent["members"] <= 5000 and "probed" not in sent
+
+
+def test_large_buckets_of_two_kinds_are_probed(spark):
+    """Two families of near copies that share a passage and do not link with each other, in buckets of many blocks."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        own = [f"{'ab'[i % 2]}{j}" for j in range(30)]
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(30)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(passage + own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_components(df, words=3, percent=80, block=16, probes=32).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.jaccard(rows, 3, 80)
+
+
 def test_prefix_tree_finds_exactly_the_links():
     rng = random.Random(1)
     sets = [tuple(sorted(rng.sample(range(120), rng.randint(1, 60)))) for _ in range(60)]
@@ -60,7 +96,7 @@ def test_components(spark):
 def test_substring_dedup(spark, window, seed, hot_least):
     rows = [*copies(), (900, "z y " * 60), (901, "q " * 50), (902, "z y " * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = dedup_substrings(df, window=window, seed=seed, hot_least=hot_least, hot_share=10_000)
+    got = dedup_substrings(df, window=window, seed=seed, hot_least=hot_least)
     assert sorted(map(tuple, got.collect())) == sorted(brute.substring_dedup(rows, window))
 
 
