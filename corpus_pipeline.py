@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("personal_data", personal_data), ("packing", packing)]
 
-#: SQL cannot express the classifier, the field or the packing; tests hold the stages against brute force.
+#: SQL cannot express the classifier, the field or the packing; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
