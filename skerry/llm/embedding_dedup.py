@@ -12,7 +12,8 @@ Vectors link within one label (and one width) only.  Equal vectors of a label
 form one class; the search runs over classes, and counts carry their sizes.
 
 Scale.  Codebooks are fitted on at most ``sample`` vectors; k follows the
-number of vectors, so cells hold about ``cell_rows``.  A cell's index rows and
+size of the label that the mean vector is in, so cells hold about
+``cell_rows`` even where one label holds most rows.  A cell's index rows and
 its visitors are both dealt to blocks of at most ``block``, so a hot label or
 cell becomes many tasks.  Each block returns a count per visitor and a
 spanning forest of its links, never its pairs.
@@ -193,13 +194,14 @@ def near_duplicates(
     classes = written(
         rows.where(sound).select("vec_id", "label", "embedding", *key).groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "vectors"
     )
-    n_classes, n_labels, width = classes.agg(F.count("*"), F.count_distinct("label"), F.max(F.size("embedding"))).first()
+    by_label = classes.groupBy("label").agg(F.count("*").cast("double").alias("n"), F.max(F.size("embedding")).alias("width"))
+    n_classes, squares, width = by_label.agg(F.sum("n"), F.sum(F.col("n") * F.col("n")), F.max("width")).first()
     unlinked = keyed.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not n_classes:
         return unlinked
     width += width % 2
     taken = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
-    k = max(2, min(max_words, math.ceil(math.sqrt(n_classes / n_labels / cell_rows))))
+    k = max(2, min(max_words, math.ceil(math.sqrt(squares / n_classes / cell_rows))))
     index = fit(_unit(taken, width), k, cosine, recall)
     places = written(
         classes.select("label", F.size("embedding").alias("width"), "rep", "n", "embedding").mapInArrow(_place(index, width), "visitor boolean, label long, width int, cell long, rep long, n long, vector binary"),
