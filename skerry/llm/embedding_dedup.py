@@ -15,7 +15,8 @@ Scale.  Codebooks are fitted on at most ``sample`` vectors; k follows the
 size of the label that the mean vector is in, so cells hold about
 ``cell_rows`` even where one label holds most rows.  A cell's index rows and
 its visitors are both dealt to blocks of at most ``block``, so a hot label or
-cell becomes many tasks.  Each block returns a count per visitor and a
+cell becomes many tasks.  What travels is the vector as it came, in single
+precision; it is made a unit vector in double precision where it is compared.  Each block returns a count per visitor and a
 spanning forest of its links, never its pairs.
 
 Defined results.  Vectors that are null, empty, zero, or hold null or
@@ -101,15 +102,19 @@ def fit(x: np.ndarray, k: int, cosine: float, recall: float) -> MultiIndex:
     return MultiIndex(index.books, float(np.quantile(gone, recall, method="higher")) + 1e-12)
 
 
-def _unit(column: pa.Array, width: int) -> np.ndarray:
-    """Unit vectors in double precision, short ones padded with zeros (their width is part of the key)."""
+def _padded(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows, short ones padded with zeros (their width is part of the key)."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     ends = np.cumsum(np.diff(column.offsets.to_numpy()))
     out = np.zeros((len(column), width))
     lengths = np.diff(np.concatenate([[0], ends]))
     at = np.arange(len(flat)) - np.repeat(ends - lengths, lengths)
     out[np.repeat(np.arange(len(column)), lengths), at] = flat
-    return out / np.linalg.norm(out, axis=1)[:, None]
+    return out
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def _place(index: MultiIndex, width: int):
@@ -119,14 +124,15 @@ def _place(index: MultiIndex, width: int):
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 b = whole.slice(lo, 1024)
-                x = _unit(b.column(4), width)
+                flat = _padded(b.column(4), width)
+                x = _normed(flat)
                 visits = list(index.visits(x))
                 n = np.array([len(v) for v in visits])
                 row = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), n)])
                 cell = np.concatenate([index.cells(x), *visits])
                 visitor = np.repeat([False, True], [len(x), len(row) - len(x)])
                 take = pa.array(row)
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
+                raw = pa.array([v.tobytes() for v in flat.astype(np.float32)], pa.binary())
                 yield pa.RecordBatch.from_pydict(
                     {"visitor": pa.array(visitor), "label": b.column(0).take(take), "width": b.column(1).take(take), "cell": pa.array(cell, pa.int64()), "rep": b.column(2).take(take), "n": b.column(3).take(take), "vector": raw.take(take)}
                 )
@@ -141,7 +147,7 @@ def _verify(cosine: float):
         ours, theirs = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if not ours or not theirs:
             return []
-        x, y = (np.frombuffer(b"".join(r[3] for r in side), np.float64).reshape(len(side), -1) for side in (ours, theirs))
+        x, y = (_normed(np.frombuffer(b"".join(r[3] for r in side), np.float32).reshape(len(side), -1).astype(np.float64)) for side in (ours, theirs))
         a, b = (np.array([r[1] for r in side], np.int64) for side in (ours, theirs))
         hit = (x @ y.T >= cosine) & (a[:, None] != b)
         links = hit @ np.array([r[2] for r in theirs], np.int64)
@@ -180,7 +186,7 @@ def _found(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(
-    vectors: DataFrame, *, cosine: float = 0.93, recall: float = 0.995, sample: int = 10_000, cell_rows: int = 400, max_words: int = 512, block: int = 256
+    vectors: DataFrame, *, cosine: float = 0.93, recall: float = 0.995, sample: int = 10_000, cell_rows: int = 400, max_words: int = 512, block: int = 1024
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
@@ -202,7 +208,7 @@ def near_duplicates(
     width += width % 2
     taken = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     k = max(2, min(max_words, math.ceil(math.sqrt(squares / n_classes / cell_rows))))
-    index = fit(_unit(taken, width), k, cosine, recall)
+    index = fit(_normed(_padded(taken, width)), k, cosine, recall)
     places = written(
         classes.select("label", F.size("embedding").alias("width"), "rep", "n", "embedding").mapInArrow(_place(index, width), "visitor boolean, label long, width int, cell long, rep long, n long, vector binary"),
         "cells",
