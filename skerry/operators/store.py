@@ -1,7 +1,8 @@
 """A tenant-partitioned index with atomic writes: chunks, vectors and keyword entries as one table.
 
-Every namespace is a Parquet table of chunks with their vectors, and one of
-document rows.  A write builds the namespace's next version in new folders and
+Every namespace is a Parquet table of chunks with their vectors, one of
+document rows, and one of postings in term order, so that a keyword search
+reads the row groups of its terms and no text.  A write builds the namespace's next version in new folders and
 publishes it by creating the next manifest file; who creates it first wins, and
 an unpublished version is garbage nobody reads.  Readers look the newest
 manifest up for every call, so all sessions see the same.
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 
 from ..functions import search_text
 from ..schema import CHUNK, CHUNK_COLUMNS, INDEXED_DOCUMENT, SCHEMA_VERSION, STORED_CHUNK
-from .lexical import lexical_search
+from .lexical import postings, search_postings
 from .limits import check_query_vector, check_top_k
 from .vector import vector_search
 
 
+_POSTING = "id string, term string, tf long, length long"
+
+
 @dataclass(frozen=True)
 class StoreWrite:
     """``upsert`` has chunks with ``embedding``, ``restate`` chunks; the rest are ids and document rows.  None is empty."""
@@ -127,8 +131,29 @@ class ParquetStore:
     def lexical_search(self, queries: DataFrame, top_k: int) -> DataFrame:
         """(query_id, namespace, id, score, rank) for ``queries(query_id, namespace, q)``; operators in q are words."""
         check_top_k(top_k)
+        posted, sizes = self.spark.createDataFrame([], f"namespace string, {_POSTING}"), []
+        for name, own in self._manifest().namespaces.items():
+            if own.get("stem") == self.stem:
+                part = self._read(own, "postings", _POSTING)
+                sizes.append((name, own["n_chunks"], own["n_words"]))
+            else:  # written by a store with other words: taken from the texts
+                part = self._postings(own)
+                sizes.append((name, *self._sizes(own, part)))
+            posted = posted.unionByName(part.withColumn("namespace", F.lit(name)))
+        n_chunks, n_words = sum(s[1] for s in sizes), sum(s[2] for s in sizes)
+        if self.scope == "index":
+            sizes = [(s[0], n_chunks, n_words) for s in sizes]
+        stats = self.spark.createDataFrame([(name, n, words / n) for name, n, words in sizes if n], "namespace string, n_chunks long, avg_length double")
+        return search_postings(posted, stats, queries, top_k, stem=self.stem, scope=self.scope)
+
+    def _postings(self, own: dict) -> DataFrame:
+        """(id, term, tf, length) from the texts of one namespace's chunks."""
         text = search_text(F.col("title"), F.col("heading_path"), F.col("text"))
-        return lexical_search(self._searchable().withColumn("search_text", text), queries, top_k, stem=self.stem, scope=self.scope)
+        return postings(self._read(own, "chunks", STORED_CHUNK).withColumn("search_text", text), stem=self.stem).select(*(c.split()[0] for c in _POSTING.split(", ")))
+
+    def _sizes(self, own: dict, posted: DataFrame) -> tuple[int, int]:
+        """Number of chunks, and of words in them."""
+        return self._read(own, "chunks", STORED_CHUNK).count(), posted.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
 
     def vector_search(self, queries: DataFrame, top_k: int) -> DataFrame:
         """(query_id, namespace, id, score, rank) for ``queries(query_id, namespace, vector)``; checked even over nothing."""
@@ -169,8 +194,15 @@ class ParquetStore:
         entry = {"chunks": f"data/{version}/chunks", "documents": f"data/{version}/documents", "width": width or old_width}
         rows.write.parquet(f"{self.path}/{entry['chunks']}")
         known.unionByName(listed).write.parquet(f"{self.path}/{entry['documents']}")
+        entry |= self._write_postings(entry, f"data/{version}/postings")
         self._publish(replace(before, number=before.number + 1, namespaces={**before.namespaces, namespace: entry}))
 
+    def _write_postings(self, entry: dict, path: str) -> dict:
+        """Postings of the chunks just written, in ranges of (term, id), so that a frequent term fills many files."""
+        self._postings(entry).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/{path}")
+        n_chunks, n_words = self._sizes(entry, self.spark.read.schema(_POSTING).parquet(f"{self.path}/{path}"))
+        return {"postings": path, "stem": self.stem, "n_chunks": n_chunks, "n_words": n_words}
+
     def _check(self, namespace: str, upsert: DataFrame, restate: DataFrame, documents: DataFrame) -> int | None:
         """One aggregate over the write, before anything is stored."""
         nul = lambda *cols: F.max(F.greatest(*[F.contains(F.coalesce(F.col(c), F.lit("")), F.lit("\x00")) for c in cols], F.lit(False)))

@@ -82,6 +82,28 @@ def test_searches_reopen_and_lost_races(spark, tmp_path):
     assert ids(again.chunks("acme").select("id")) == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("stem", [False, True])
+@pytest.mark.parametrize("scope", ["namespace", "index"])
+def test_stored_postings_score_as_the_texts_do(spark, tmp_path, stem, scope):
+    """Same hits from postings, from texts (a store of other words reopened), and after an update; the asked terms reach the scan."""
+    from skerry.operators.lexical import lexical_search
+
+    store = ParquetStore(spark, str(tmp_path / "s"), stem=stem, scope=scope)
+    write(store, upsert=[chunk("a", [1.0], text="refunds take days, refund days"), chunk("b", [1.0], text="other days"), chunk("x", [1.0], text="days")])
+    write(store, remove_chunks=[("x",)], restate=[chunk("b", text="other refund")])
+    other = spark.createDataFrame([tuple(chunk("c", [1.0], ns="beta", text="Days of refunds").values())], STORED_CHUNK)
+    store.apply("beta", StoreWrite(upsert=other))
+    store.apply("none", StoreWrite())
+    q = spark.createDataFrame([("q", "acme", "refund days"), ("r", "beta", "DAYS"), ("s", "acme", ""), ("t", "none", "days")], "query_id string, namespace string, q string")
+    texts = store.chunks("acme").unionByName(store.chunks("beta")).selectExpr("namespace", "id", "concat('Handbook ', text) AS search_text")
+    want = sorted(map(tuple, lexical_search(texts, q, 5, stem=stem, scope=scope).collect()))
+    found = store.lexical_search(q, 5)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 3
+    assert "EqualTo(term,da" in found._jdf.queryExecution().toString()
+    reopened = ParquetStore(spark, str(tmp_path / "s"), stem=not stem, scope=scope)
+    assert sorted(map(tuple, reopened.lexical_search(q, 5).collect())) == sorted(map(tuple, lexical_search(texts, q, 5, stem=not stem, scope=scope).collect()))
+
+
 def documents(spark, *rows):
     return spark.createDataFrame([(i, "acme", f"{i}.md", i, t, f"hash of {t}", {}, None) for i, t in rows], DOCUMENT)
 

@@ -109,3 +109,14 @@ def test_thresholds(spark):
     best = threshold_sweep(df).first()
     assert (best["score"], best["balanced"]) == (0.3, pytest.approx((1 + 2 / 3) / 2))
     assert keep_cutoff(df).first()["cutoff"] == 0.3
+
+
+def test_index_scope_counts_chunks_of_every_namespace(spark):
+    import math
+
+    rows = [("n", "a", "net rope"), ("m", "b", "net net"), ("m", "c", "lamp")]
+    df = spark.createDataFrame(rows, "namespace string, id string, search_text string")
+    hit = lexical_search(df, spark.createDataFrame([("q", "n", "net")], "query_id string, namespace string, q string"), 5, scope="index").collect()
+    length, mean = 2, 5 / 3
+    want = math.log(1 + (3 - 2 + 0.5) / (2 + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))
+    assert [r["id"] for r in hit] == ["a"] and abs(hit[0]["score"] - want) < 1e-8
