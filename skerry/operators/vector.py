@@ -47,11 +47,15 @@ def _best(queries: list[tuple], top_k: int):
                 part = x[own]
                 scores = (part @ m.T) / np.linalg.norm(part, axis=1)[:, None]
                 best = np.argsort(-scores, axis=0, kind="stable")[:top_k]
-                for q, name in enumerate(names):
-                    at = best[:, q]
-                    yield pa.RecordBatch.from_pydict(
-                        {"query_id": pa.array([name] * len(at)), "namespace": pa.array([space] * len(at), pa.string()), "id": pa.array(ids[own[at]].tolist()), "score": pa.array(scores[at, q])}
-                    )
+                at = best.T.ravel()  # query by query
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "query_id": pa.array([name for name in names for _ in range(len(best))]),
+                        "namespace": pa.array([space] * len(at), pa.string()),
+                        "id": pa.array(ids[own[at]].tolist()),
+                        "score": pa.array(scores.T[np.repeat(np.arange(len(names)), len(best)), at]),
+                    }
+                )
 
     return run
 

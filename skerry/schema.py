@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 DOCUMENT = "id string, namespace string, uri string, title string, text string, content_hash string, metadata map<string,string>, indexed_at timestamp"
 FAILURE = "uri string, reason string"

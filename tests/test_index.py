@@ -104,6 +104,39 @@ def test_stored_postings_score_as_the_texts_do(spark, tmp_path, stem, scope):
     assert sorted(map(tuple, reopened.lexical_search(q, 5).collect())) == sorted(map(tuple, lexical_search(texts, q, 5, stem=not stem, scope=scope).collect()))
 
 
+def test_small_writes_add_small_segments(spark, tmp_path):
+    """Random writes against a dict: rows, counters and postings agree, old segments stay, their number stays small."""
+    import random
+
+    rng, store, held, listed = random.Random(3), ParquetStore(spark, str(tmp_path / "s"), stem=False), {}, {}
+    first = {f"c{i:03}": f"word{i % 7} net" for i in range(200)}
+    write(store, upsert=[chunk(i, [1.0], doc=f"d{int(i[1:]) % 5}", text=t) for i, t in first.items()], documents=[(f"d{k}", "x") for k in range(5)])
+    held |= {i: (f"d{int(i[1:]) % 5}", t) for i, t in first.items()}
+    listed |= {f"d{k}": "x" for k in range(5)}
+    base = store._segments("acme")[0]["folder"]
+    for step in range(6):
+        gone = set(rng.sample(sorted(held), 2)) if step % 2 else set()
+        new = {f"n{step}": f"rope word{step}", rng.choice(sorted(set(held) - gone)): "upserted rope net"}
+        moved = {i: f"moved net {step}" for i in rng.sample(sorted(set(held) - gone), 2)}
+        dropped = {"d4"} if step == 5 else set()
+        moved = {i: t for i, t in moved.items() if held[i][0] not in dropped}
+        write(
+            store, upsert=[chunk(i, [2.0], doc="d1", text=t) for i, t in new.items()], restate=[chunk(i, doc=held[i][0], text=t) for i, t in moved.items()],
+            remove_chunks=[(i,) for i in gone], remove_documents=[(d,) for d in dropped], documents=[("d1", f"y{step}")],
+        )
+        held = {i: v for i, v in held.items() if i not in gone and v[0] not in dropped}
+        held |= {i: (held[i][0], t) for i, t in moved.items()} | {i: ("d1", t) for i, t in new.items()}
+        listed = {d: h for d, h in listed.items() if d not in dropped} | {"d1": f"y{step}"}
+        own = store._manifest().namespaces["acme"]
+        assert own["segments"][0]["folder"] == base or step == 5
+        assert len(own["segments"]) <= 4
+        assert (own["n_chunks"], own["n_words"]) == (len(held), sum(len(f"Handbook {t}".split()) for _, t in held.values()))
+    assert {r["id"]: (r["doc_id"], r["text"]) for r in store.chunks("acme").collect()} == held
+    assert dict(map(tuple, store.documents("acme").collect())) == listed
+    want = sorted((i, w, f"Handbook {t}".lower().split().count(w)) for i, (_, t) in held.items() for w in set(f"Handbook {t}".lower().split()))
+    assert sorted(map(tuple, store._postings(store._segments("acme")).select("id", "term", "tf").collect())) == want
+
+
 def documents(spark, *rows):
     return spark.createDataFrame([(i, "acme", f"{i}.md", i, t, f"hash of {t}", {}, None) for i, t in rows], DOCUMENT)
 
